@@ -48,29 +48,30 @@ def reply_paths(links: DataFrame, branches: int = 1) -> DataFrame:
     if links.select("tree", "node").distinct().count() != n_rows:
         raise ValueError("two messages of a tree share a key")
     known = links.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    jump = materialise(
+    start = materialise(
         links.join(known, links.tree.eqNullSafe(known.t) & (links.parent == known.n), "left").select("tree", "node", F.col("n").alias("up"), F.lit(1).alias("depth"), "score", "size"), "jump"
     )
-    jumps = [jump]
-    while jumps[-1].where("up IS NOT NULL").limit(1).count():
+    # Round k: sums over the first 2**k messages upwards. Only messages that have not met their root go on.
+    whole, jumps = start.where("up IS NULL"), []
+    active = start.where("up IS NOT NULL")
+    while active.limit(1).count():
         if 2 ** len(jumps) > 2 * n_rows:
             raise ValueError("replies form a cycle")
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        jumps.append(
-            materialise(
-                a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left").select(
-                    "a.tree", "a.node", F.col("b.up").alias("up"), *[(F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}"), F.lit(0))).alias(c) for c in ("depth", "score", "size")]
-                ),
-                "jump",
-            )
+        jumps.append(active)
+        a, b = active.alias("a"), whole.unionByName(active).alias("b")
+        ahead = materialise(
+            a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node"))).select(
+                "a.tree", "a.node", F.col("b.up").alias("up"), *[(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in ("depth", "score", "size")]
+            ),
+            "jump",
         )
-    whole = jumps[-1]  # sums from each node up to its root
-    answered = jumps[0].where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+        whole, active = whole.unionByName(ahead.where("up IS NULL")), ahead.where("up IS NOT NULL")
+    answered = start.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = whole.join(answered, whole.tree.eqNullSafe(answered.t) & (whole.node == answered.n), "left_anti")
     ranked = leaves.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))).where(F.col("branch") <= branches)
     paths = ranked.select("tree", F.col("node").alias("leaf"), "branch", F.col("score").alias("path_score"), "node")
-    for j in reversed(jumps[:-1]):
-        j = j.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    for j in reversed(jumps):
+        j = j.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         above = paths.join(j, paths.tree.eqNullSafe(j.t) & (paths.node == j.n)).select("tree", "leaf", "branch", "path_score", F.col("up").alias("node"))
         paths = materialise(paths.unionByName(above), "paths")
     place = whole.select(F.col("tree").alias("t"), F.col("node").alias("n"), "depth", F.col("size").alias("upto"))
