@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, n_fil
     spark = docs.sparkSession
     ship(spark)
     if n_files is None:
-        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes) if size < 1 << 60 else 1)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(n_files, F.asc("doc_id")).sortWithinPartitions("doc_id", "text")
     # Spark's text writer puts a string's bytes out as they are.
