@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -93,8 +94,10 @@ class Slice:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The column (nulls as empty texts) as slices of at most ``limit`` bytes or one text."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, lower: bool = False) -> Iterator[Slice]:
+    """The column (nulls as empty texts) as slices of at most ``limit`` bytes or one text; in lower case if asked for."""
+    if lower:
+        column = pc.utf8_lower(column)  # one code point for one
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     if column.null_count:
         column = column.fill_null(b"")

@@ -35,9 +35,9 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str]):
         words, self.ids = [], ids
-        for s in bytescan.slices(pa.array(texts, pa.string())):
+        for s in bytescan.slices(pa.array(texts, pa.string()), lower=True):
             start, end, owner = s.words(bytescan.NOT_ALNUM)
-            h = s.hashes(start, end, bytescan.LOWER)
+            h = s.hashes(start, end)
             cut = np.searchsorted(owner, np.arange(s.n + 1))
             words += [h[cut[i] : cut[i + 1]] for i in range(s.n)]
         self.words = words
@@ -105,7 +105,7 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 def search(s: bytescan.Slice, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first and last character (exclusive)) of each contaminated text of the slice."""
     start, end, owner = s.words(bytescan.NOT_ALNUM)
-    h = s.hashes(start, end, bytescan.LOWER)
+    h = s.hashes(start, end)
     keys, at = bytescan.window_hashes(h, owner, GRAM)
     where, seed = items.find(keys)
     if not len(where):
@@ -158,9 +158,9 @@ def _frequencies(sent):
         items = sent.value
         df = np.zeros(len(items.distinct), np.int64)
         for batch in batches:
-            for s in bytescan.slices(batch.column(0)):
+            for s in bytescan.slices(batch.column(0), lower=True):
                 start, end, owner = s.words(bytescan.NOT_ALNUM)
-                keys, at = bytescan.window_hashes(s.hashes(start, end, bytescan.LOWER), owner, GRAM)
+                keys, at = bytescan.window_hashes(s.hashes(start, end), owner, GRAM)
                 where, seed = items.find(keys)
                 pairs = np.unique(owner[at[where]] * max(1, len(df)) + seed)
                 df += np.bincount(pairs % max(1, len(df)), minlength=len(df))
@@ -197,7 +197,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             items = sent.value
             for batch in batches:
                 ids = batch.column(0)
-                for s in bytescan.slices(batch.column(1)):
+                for s in bytescan.slices(batch.column(1), lower=True):
                     rows = search(s, items, threshold)
                     if rows:
                         i, m, score, a, b = zip(*rows)
@@ -221,7 +221,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, bl
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for s in bytescan.slices(batch.column(where)):
+                for s in bytescan.slices(batch.column(where), lower=True):
                     clean[[s.first + r[0] for r in search(s, sent.value, threshold)]] = False
                 yield batch.filter(pa.array(clean))
 

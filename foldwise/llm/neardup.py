@@ -116,7 +116,7 @@ def plain_jaccard(ka: np.ndarray, kb: np.ndarray) -> float:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for s in bytescan.slices(batch.column(1)):
+        for s in bytescan.slices(batch.column(1), lower=True):
             own, keys, weights, one, two = shingles(s)
             sig = prob_min_hash(own, keys, weights, s.n)
             filled = np.bincount(own, minlength=s.n) > 0
@@ -164,7 +164,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column):
-            for s in bytescan.slices(column):
+            for s in bytescan.slices(column, lower=True):
                 own, keys, weights, _, _ = shingles(s)
                 cut = np.searchsorted(own, np.arange(s.n + 1))
                 for i in range(s.n):
