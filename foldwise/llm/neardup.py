@@ -35,8 +35,8 @@ from foldwise.runtime import materialise, ship, table
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
-#: Pairs whose signatures agree on less than this share of registers are over 4 standard deviations below the threshold.
-LEAST_AGREEMENT = 0.63
+#: Pairs whose signatures agree on less than this share of registers are nearly 4 standard deviations below the threshold.
+LEAST_AGREEMENT = 0.66
 ALL_PAIRS = 64
 
 
@@ -148,16 +148,25 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket a row, with its members (id, comp, sig): pairs of different components whose signatures agree enough."""
+    """A bucket a row (band, members: id, comp, sig, keys, small): pairs of different components whose signatures agree
+    enough. ``small`` has a bit for each band where the member's bucket is compared as a whole; a pair is left to the
+    first such band that it shares, or to the first band that it shares if there is none."""
     for batch in batches:
         a_out, b_out = [], []
-        for members in batch.column(0).to_pylist():
-            ids, comp = np.array([m["id"] for m in members]), np.array([m["comp"] for m in members])
-            sig = np.frombuffer(b"".join(m["sig"] for m in members), "<u2").reshape(-1, REGISTERS)
+        for band, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+            m = members.values
+            ids, comp, small = (m.field(k).to_numpy() for k in ("id", "comp", "small"))
+            sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+            keys = m.field("keys").flatten().to_numpy().reshape(-1, BANDS)
             for i in range(len(ids) - 1):
                 hit = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((sig[i + 1 :] == sig[i]).mean(1) >= LEAST_AGREEMENT)) + i + 1
-                a_out += [ids[i]] * len(hit)
-                b_out += ids[hit].tolist()
+                if len(hit):
+                    shared = ((keys[hit] == keys[i]) * (1 << np.arange(BANDS))).sum(1)
+                    whole = shared & small[i]
+                    own = np.where(whole > 0, whole, shared)
+                    hit = hit[(own & -own) == 1 << band]
+                    a_out += [int(ids[i])] * len(hit)
+                    b_out += ids[hit].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
@@ -233,13 +242,16 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
 
     named = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = named.groupBy("band", "key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band", "key")
-    open_ = materialise(named.join(mixed, ["band", "key"]).select("band", "key", "id", "comp", "n").join(signed.select("id", "sig", "keys"), "id"), "open")
-    packed = F.collect_list(F.struct("id", "comp", "sig")).alias("members")  # at most all_pairs members
-    small = open_.where(F.col("n") <= all_pairs).groupBy("band", "key").agg(packed).select("members")
-    large = open_.where(F.col("n") > all_pairs).select("band", "key", "id", "comp", "sig", F.posexplode("keys").alias("band2", "key2")).where("band2 <> band")
+    small_bit = F.when(F.col("n") <= all_pairs, F.expr("shiftleft(1L, band)")).otherwise(0)
+    small_bands = members.groupBy("id").agg(F.sum(small_bit).alias("small"))
+    mixed_rows = named.join(mixed, ["band", "key"]).select("band", "key", "id", "comp", "n")
+    open_ = materialise(mixed_rows.join(signed.select("id", "sig", "keys"), "id").join(small_bands, "id"), "open")
+    packed = F.collect_list(F.struct("id", "comp", "sig", "keys", "small")).alias("members")  # at most all_pairs members
+    small = open_.where(F.col("n") <= all_pairs).groupBy("band", "key").agg(packed).select("band", "members")
+    large = open_.where(F.col("n") > all_pairs).select("band", "key", "id", "comp", "sig", "keys", "small", F.posexplode("keys").alias("band2", "key2")).where("band2 <> band")
     sizes = large.groupBy("band", "key", "band2", "key2").agg(F.count("*").alias("n2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(order)["id"].alias("leader2")).where("c1 < c2")
     large = large.join(sizes, ["band", "key", "band2", "key2"])
-    cut = large.where(F.col("n2") <= all_pairs).groupBy("band", "key", "band2", "key2").agg(packed).select("members")
+    cut = large.where(F.col("n2") <= all_pairs).groupBy("band", "key", "band2", "key2").agg(packed).select("band", "members")
     inside = small.unionByName(cut).mapInArrow(_cross, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     again = large.where((F.col("n2") > all_pairs) & (F.col("id") != F.col("leader2"))).select(F.least("id", "leader2").alias("a"), F.greatest("id", "leader2").alias("b"))
     rest = inside.unionByName(again).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
