@@ -51,6 +51,14 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+#: Counts are sent in a byte each, in eighths of powers of two; small ones are exact to a few percent.
+LEVELS = (2.0 ** (np.arange(256) / 8) - 1).astype(np.float32)
+
+
+def packed(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(8 * np.log2(1 + counts)), 255).astype(np.uint8)
+
+
 @dataclass
 class Words:
     """Distinct words: hash, and their bytes one after the other."""
@@ -110,9 +118,8 @@ def inputs(counts: np.ndarray, slots: list[np.ndarray], bit: np.ndarray | None)
     x = np.ones((INPUTS, len(slots[0])), np.float32)
     gate = np.zeros(len(slots[0]), np.int64)
     for i, slot in enumerate(slots):
-        n = counts[slot]
+        n = LEVELS[counts[slot]]
         if bit is not None:
-            n = n.copy()
             n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
         total = n[:, 0] + n[:, 1]
         x[i] = np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)) * (total / (total + 0.4))
@@ -126,7 +133,7 @@ def inputs(counts: np.ndarray, slots: list[np.ndarray], bit: np.ndarray | None)
 class Model:
     """Everything that scoring needs; its size doesn't depend on the data."""
 
-    counts: np.ndarray  # (4 << SLOT_BITS, 2)
+    counts: np.ndarray  # (4 << SLOT_BITS, 2), packed
     pairs: np.ndarray  # (65536, languages) log likelihoods
     weights: np.ndarray  # (GATE * GATE, INPUTS)
     refine: np.ndarray  # (256, STEPS) probabilities
@@ -313,7 +320,7 @@ def learn(train: DataFrame) -> tuple[Model, DataFrame]:
     counts = np.zeros((PARTS, (8 << SLOT_BITS) // PARTS), np.float32)
     for r in parts.toLocalIterator():  # PARTS rows of fixed size
         counts[r["part"]] = np.frombuffer(r["counts"], np.float32)
-    counts = counts.reshape(4 << SLOT_BITS, 2)
+    counts = packed(counts.reshape(4 << SLOT_BITS, 2))
     weights, total = np.full((GATE * GATE, INPUTS), 0.3), np.zeros(GATE * GATE)
     learned = vocabulary.mapInArrow(_learn_weights(sc.broadcast(counts)), "gate int, input int, w double, mass double").groupBy("gate", "input").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
     for r in learned.collect():
