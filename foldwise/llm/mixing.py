@@ -1,9 +1,9 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its words (lower case for A-Z, cut at white space) and one end. A word is spelled byte by byte with a closing
-space, the end is one line feed, and each byte is eight binary decisions. Four hashed-context predictors give each bit a
-probability from counts of training text: the word so far, the last two bytes with the language state, the last four
-bytes, and the word so far with the state. A mixer adds their stretched probabilities with weights from a gate (how
+space, the end is one line feed, and each byte is eight binary decisions. Six hashed-context predictors give each bit a
+probability from counts of training text: the word so far with and without the language state, its last four bytes, and
+its last two, three and six with the state. A mixer adds their stretched probabilities with weights from a gate (how
 often the two deepest contexts were seen); a last stage refines the sum by what actually followed such sums after the
 same first bits of the byte. The product over all bits is the probability of the text.
 
@@ -36,7 +36,11 @@ from foldwise.llm import bytescan
 from foldwise.runtime import materialise, ship, table
 
 SLOT_BITS, PARTS, LANGUAGES, GATE, STEPS = 20, 256, 7, 6, 33
-INPUTS = 5  # four predictors and a constant
+#: The predictors: how many bytes of the word before, and whether the language state counts.
+PREDICTORS = ((24, False), (2, True), (4, False), (24, True), (3, True), (6, True))
+GATED = (2, 3)  # the predictors whose counts make the gate
+SLOTS = len(PREDICTORS) << SLOT_BITS
+INPUTS = len(PREDICTORS) + 1  # and a constant
 CLOSE, END = 0x20, 0x0A
 CHUNK_BYTES = 8 << 20
 SUM_TASKS = 16
@@ -96,10 +100,13 @@ class Words:
 def contexts(symbols: np.ndarray, begin: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
     s = bytescan.Slice(symbols, np.array([0, len(symbols)]), 0)
     at = np.arange(len(symbols))
-    ranges = [s.hashes(np.maximum(begin, at - k), at) for k in (24, 2, 4)]
+    out = []
     with np.errstate(over="ignore"):
         other = state.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        return [bytescan.mix(x + np.uint64(k + 1) * _STEP) for k, x in enumerate((ranges[0], ranges[1] ^ other, ranges[2], bytescan.mix(ranges[0]) ^ other))]
+        for k, (length, stated) in enumerate(PREDICTORS):
+            h = s.hashes(np.maximum(begin, at - length), at)
+            out.append(bytescan.mix((bytescan.mix(h) ^ other if stated else h) + np.uint64(k + 1) * _STEP))
+    return out
 
 
 def bits_of(symbols: np.ndarray, ctx: list[np.ndarray]):
@@ -123,7 +130,7 @@ def inputs(counts: np.ndarray, slots: list[np.ndarray], bit: np.ndarray | None)
             n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
         total = n[:, 0] + n[:, 1]
         x[i] = np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)) * (total / (total + 0.4))
-        if i in (2, 3):
+        if i in GATED:
             gate = gate * GATE + np.minimum(np.log2(total + 1).astype(np.int64) // 2 + (total > 0), GATE - 1)
     x[INPUTS - 1] = 0.3
     return x, gate
@@ -133,7 +140,7 @@ def inputs(counts: np.ndarray, slots: list[np.ndarray], bit: np.ndarray | None)
 class Model:
     """Everything that scoring needs; its size doesn't depend on the data."""
 
-    counts: np.ndarray  # (4 << SLOT_BITS, 2), packed
+    counts: np.ndarray  # (SLOTS, 2), packed
     pairs: np.ndarray  # (65536, languages) log likelihoods
     weights: np.ndarray  # (GATE * GATE, INPUTS)
     refine: np.ndarray  # (256, STEPS) probabilities
@@ -255,7 +262,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch], size: int):
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((4 << SLOT_BITS, 2), np.float32)
+    counts = np.zeros((SLOTS, 2), np.float32)
     for words, state, c in _vocabulary(batches, 20_000):
         symbols, word, begin = words.spelled()
         mass = c[word].astype(np.float32)
@@ -317,10 +324,10 @@ def learn(train: DataFrame) -> tuple[Model, DataFrame]:
     found = train.select("text").mapInArrow(_state_words(sc.broadcast(pairs)), "h bigint, word binary, state int, c bigint")
     vocabulary = materialise(found.groupBy("h", "word", "state").agg(F.sum("c").alias("c")), "words")
     parts = vocabulary.coalesce(SUM_TASKS).mapInArrow(_slot_counts, "part int, counts binary").groupBy("part").applyInArrow(_sum_parts, "part int, counts binary")
-    counts = np.zeros((PARTS, (8 << SLOT_BITS) // PARTS), np.float32)
+    counts = np.zeros((PARTS, 2 * SLOTS // PARTS), np.float32)
     for r in parts.toLocalIterator():  # PARTS rows of fixed size
         counts[r["part"]] = np.frombuffer(r["counts"], np.float32)
-    counts = packed(counts.reshape(4 << SLOT_BITS, 2))
+    counts = packed(counts.reshape(SLOTS, 2))
     weights, total = np.full((GATE * GATE, INPUTS), 0.3), np.zeros(GATE * GATE)
     learned = vocabulary.mapInArrow(_learn_weights(sc.broadcast(counts)), "gate int, input int, w double, mass double").groupBy("gate", "input").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
     for r in learned.collect():
