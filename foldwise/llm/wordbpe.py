@@ -62,7 +62,7 @@ def load(path: str) -> WordBpe:
 class PieceTable:
     """Numbers pieces; ``encode_new`` maps new ones to their ids in bulk. Forgotten as a whole beyond ``limit`` pieces."""
 
-    def __init__(self, encode_new, limit: int = 1_000_000):
+    def __init__(self, encode_new, limit: int = 1_300_000):
         self.encode_new, self.limit = encode_new, limit
         self.clear()
 
@@ -79,8 +79,7 @@ class PieceTable:
         known = self.number
         new: dict[str, None] = {}
         for t in texts:
-            if not known.keys() >= (s := set(t)):
-                new.update(dict.fromkeys(p for p in s if p not in known))
+            new.update(dict.fromkeys(set(t).difference(known)))
         if new:
             fresh = list(new)
             self._add(fresh, self.encode_new(fresh))
