@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -238,9 +239,10 @@ def extract(source: str | None, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    marked = pages.where(F.lower("html").rlike("<(article|main)[ >]")).select("page_id", "html")
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html")
-    return Weights.learn(r["html"] for r in rows.toLocalIterator())
+    marked = F.lower("html").rlike("<(article|main)[ >]")
+    ids = pages.where(marked & F.col("page_id").isNotNull()).select(F.col("page_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = pages.join(F.broadcast(ids), F.col("page_id") == F.col("_id")).where(marked).select("html")  # at most ``sample`` ids
+    return Weights.learn(r["html"] for r in islice(rows.toLocalIterator(), sample))
 
 
 def extract_pages(pages: DataFrame, weights: Weights) -> DataFrame:
