@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foldwise.llm import bytescan
 from foldwise.runtime import ship, table
 
-GRAM, MIN_WORDS, LEAST_SEEDS, THRESHOLD, BLOCK_BYTES = 3, 6, 6, 0.5, 32 << 20
+GRAM, MIN_WORDS, LEAST_SEEDS, THRESHOLD, BLOCK_BYTES = 3, 6, 6, 0.4, 32 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 SCHEMA = "doc_id bigint, item_id bigint, score double, start_char bigint, end_char bigint"
 
