@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foldwise.functions.horizon import check_bars_per_year
 from foldwise.operators.folds import CombinatorialPurgedCV, block_of
+from foldwise.runtime import materialise
 
 
 def path_table(cv: CombinatorialPurgedCV, spark) -> DataFrame:
@@ -64,6 +66,23 @@ def backtest_paths_with(samples: DataFrame, cv: CombinatorialPurgedCV, model: Ca
     return reconstruct_paths(stages.groupBy("fold").applyInPandas(run, "fold int, pos bigint, prediction double"), cv, samples.count())
 
 
+def backtest_paths_ml(samples: DataFrame, cv: CombinatorialPurgedCV, estimator, columns: list[str], prediction: str = "prediction") -> DataFrame:
+    """For ``pyspark.ml`` estimators (or pipelines): one fit a fold, each distributed. A fold with nothing to train on
+    predicts null, with a warning."""
+    stages = materialise(cv.stages(samples).where("is_final OR is_test").select("fold", "pos", "is_final", "is_test", *columns), "stages")
+    out = None
+    for fold in range(cv.get_n_splits()):
+        own = stages.where(F.col("fold") == fold)
+        train, test = own.where("is_final"), own.where("is_test")
+        if train.limit(1).count():
+            part = estimator.fit(train).transform(test).select("fold", "pos", F.col(prediction).cast("double").alias("prediction"))
+        else:
+            warnings.warn(f"fold {fold} has no rows to train on", stacklevel=2)
+            part = test.select("fold", "pos", F.lit(None).cast("double").alias("prediction"))
+        out = part if out is None else out.unionByName(part)
+    return reconstruct_paths(out, cv, samples.count())
+
+
 def path_metrics(paths: DataFrame, value: str = "prediction", bars_per_year: float | None = None, metrics: dict[str, Column] | None = None) -> DataFrame:
     """(path, sharpe, calmar, max_drawdown, total_return) of (path, pos, value); null for NaN. Values that aren't finite
     are left out; under two left: all null. With ``metrics`` (aggregates), those instead."""

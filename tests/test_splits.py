@@ -188,3 +188,17 @@ def test_custom_models_and_metrics(spark):
     assert sorted(map(tuple, by_rows.collect())) == sorted(map(tuple, by_sums.collect()))
     top = paths.path_metrics_with(by_sums, lambda x: {"top": x.max()}, ["top"]).collect()
     assert [r["path"] for r in top] == [0]
+
+
+def test_ml_estimator_equals_ols(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    s = daily(spark, 24).withColumn("x", (F.col("pos") % 7).cast("double")).withColumn("y", F.col("x") * 2 + F.col("pos") % 3)
+    cv = folds.CombinatorialPurgedCV(4, 2, purge_horizon="1D")
+    estimator = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="v"), LinearRegression(featuresCol="v", labelCol="y")])
+    fitted = {(r["path"], r["pos"]): r["prediction"] for r in paths.backtest_paths_ml(s, cv, estimator, ["x", "y"]).collect()}
+    sums = paths.backtest_paths(s, cv, {"b": F.regr_slope("y", "x"), "a": F.regr_intercept("y", "x")}, F.col("a") + F.col("b") * F.col("x"))
+    for r in sums.collect():
+        assert fitted[r["path"], r["pos"]] == pytest.approx(r["prediction"], abs=1e-6)
