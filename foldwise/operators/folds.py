@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import copy
 import math
+from datetime import timedelta
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foldwise.errors import GroupLeakageError
 from foldwise.functions.horizon import check_integer, check_times_schema, embargo_mode, parse_horizon, validate_times
-from foldwise.operators.intervals import embargo_masks, purge_masks
+from foldwise.operators.intervals import embargo_masks, prune, purge_masks
 from foldwise.operators.scan import with_positions
 
 
@@ -36,6 +37,8 @@ class TemporalSplitter:
     """Settings of a splitter. ``samples`` needs columns pos (0-based), p and e, and g where groups are used."""
 
     uses_groups = False
+    #: From this many rows on, rows that can't be hit are set aside before the sweep.
+    prune_from: int | None = 200_000
 
     def __init__(self, *, purge_horizon=None, embargo=None, embargo_observations=None, embargo_fraction=None):
         self.horizon = parse_horizon(purge_horizon) if purge_horizon is not None else None
@@ -80,15 +83,26 @@ class TemporalSplitter:
         tests = rows.where("block IS NOT NULL")
         if self.n_blocks > 62:
             raise ValueError("at most 62 blocks")
-        rows = purge_masks(rows, tests.select("block", "p", "e"), self.n_blocks, self.horizon).withColumnRenamed("mask", "purge_mask")
         none = F.lit(0).cast("bigint")
+        pad = F.lit(self.horizon or timedelta(0))
+        prune_from = n if self.prune_from is None else self.prune_from
+
+        def swept(rows, name, a, z, low, high, sweep):
+            if n <= prune_from:
+                return sweep(rows, tests).withColumnRenamed("mask", name)
+            some, others, met = prune(rows, tests, a, z, low, high)
+            return sweep(some, met).withColumnRenamed("mask", name).unionByName(others.withColumn(name, none))
+
+        p, e = F.col("p"), F.col("e")
+        rows = swept(rows, "purge_mask", p - pad, e + pad, p, e, lambda r, t: purge_masks(r, t.select("block", "p", "e"), self.n_blocks, self.horizon))
         if self.mode is None:
             return rows.withColumn("embargo_mask", none), n
         kind, width = self.mode
         if kind == "time":
             if not width:
                 return rows.withColumn("embargo_mask", none), n
-            return embargo_masks(rows, tests.select("block", "e"), self.n_blocks, width).withColumnRenamed("mask", "embargo_mask"), n
+            wide = F.lit(width)
+            return swept(rows, "embargo_mask", e, e + wide, p, p, lambda r, t: embargo_masks(r, t.select("block", "e"), self.n_blocks, width)), n
         k = width if kind == "count" else int(n * width)
         return self.positional_masks(rows, n, k), n
 

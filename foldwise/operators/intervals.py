@@ -54,6 +54,35 @@ def embargo_masks(rows: DataFrame, tests: DataFrame, n_blocks: int, embargo: tim
     return sweep_masks(rows, tests, n_blocks, F.col("p"), F.col("e"), F.col("e"), False, lambda last: F.col("p") <= last + F.lit(embargo))
 
 
+def prune(rows: DataFrame, tests: DataFrame, a: Column, z: Column, low: Column, high: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that may be hit, all other rows, tests that may hit). Both sides have pos and block; a test reaches from ``a``
+    to ``z`` and a row from ``low`` to ``high``.
+
+    Only rows in the hull of another block's tests can be hit, and only tests that meet such rows can hit. Where blocks
+    are runs in time these are the rows at the borders, so two small aggregates take the place of a sort of everything.
+    What is left out can't overlap, so results don't change; interleaved blocks just leave nothing out."""
+    hulls = tests.groupBy("block").agg(F.min(a).alias("a"), F.max(z).alias("z"), F.min("pos").alias("first"), F.max("pos").alias("last")).collect()  # one row a block
+    near = {h["block"]: (F.col("block").isNull() | (F.col("block") != h["block"])) & (low <= F.lit(h["z"])) & (high >= F.lit(h["a"])) for h in hulls}
+    some = F.lit(False)
+    for c in near.values():
+        some = some | c
+    some = F.coalesce(some, F.lit(True))
+    sides = []
+    for h in hulls:
+        left, right = F.col("pos") < h["first"], F.col("pos") > h["last"]
+        for k, side in (("l", left), ("r", right), ("m", ~left & ~right)):
+            hit = near[h["block"]] & side
+            sides += [F.min(F.when(hit, low)).alias(f"a{k}{h['block']}"), F.max(F.when(hit, high)).alias(f"z{k}{h['block']}")]
+    met = F.lit(False)
+    if sides:
+        r = rows.where(some).agg(*sides).first()
+        for h in hulls:
+            for k in "lrm":
+                if (x := r[f"a{k}{h['block']}"]) is not None:
+                    met = met | ((F.col("block") == h["block"]) & (a <= F.lit(r[f"z{k}{h['block']}"])) & (z >= F.lit(x)))
+    return rows.where(some), rows.where(~some), tests.where(met)
+
+
 def overlaps_any(rows: DataFrame, intervals: DataFrame) -> DataFrame:
     """rows (p, e, ...) with ``hit``: whether the half-open label overlaps any of the intervals (p, e)."""
     return purge_masks(rows, intervals.withColumn("block", F.lit(0)), 1).withColumn("hit", F.col("mask") != 0).drop("mask")

@@ -114,6 +114,13 @@ def test_masks_equal_brute_force(spark, seed):
     pad, after = rnd.choice([0, 2]), rnd.choice([1, 4])
     cv = folds.CombinatorialPurgedCV(5, 2, purge_horizon=timedelta(pad), embargo=timedelta(after))
     stages = cv.stages(s).collect()
+    cv.prune_from = 0
+    pruned = cv.stages(s).collect()
+    assert sorted(map(tuple, pruned)) == sorted(map(tuple, stages))
+    by_group = folds.PurgedGroupKFold(3, purge_horizon=timedelta(pad), embargo=timedelta(after))
+    whole = sorted(map(tuple, by_group.stages(s.withColumn("g", F.col("pos") % 7)).collect()))
+    by_group.prune_from = 0
+    assert sorted(map(tuple, by_group.stages(s.withColumn("g", F.col("pos") % 7)).collect())) == whole
     for fold, mask in enumerate(cv.folds()):
         own = [r for r in stages if r["fold"] == fold]
         tests = [rows[r["pos"]] for r in own if r["is_test"]]
