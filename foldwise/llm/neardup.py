@@ -271,7 +271,7 @@ def keep(docs: DataFrame, **settings) -> DataFrame:
     found = materialise(groups(docs, **settings).where("doc_id IS NOT NULL"), "groups")
     per_id = found.groupBy("doc_id").agg(F.min("group_id").alias("_group"), F.count("*").alias("_rows"))
     gone = per_id.where("doc_id <> _group").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
     if per_id.where("_rows > 1").limit(1).count():
         # Rows repeat an id: one of each stays.
         null = kept.where("doc_id IS NULL")

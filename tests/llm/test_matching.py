@@ -107,7 +107,7 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_edges(spark):
     a = prose(random.Random(3), 50)
     rows = [(1, a), (1, a), (None, a), (2, a + " more"), (3, None)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"_gone": F.lit(1), "id": F.lit(2), "_group": F.lit("x")})
     got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["group_id"] or 0) for r in neardup.groups(df).collect())
     assert got == [(False, 0, 0), (True, 1, 1), (True, 1, 1), (True, 2, 1), (True, 3, 3)]
     kept = sorted(((r["doc_id"] or 0) for r in neardup.keep(df).collect()))

@@ -116,11 +116,12 @@ def test_classifier_keeps_clean_text(spark):
     rows += [(1000, None, "xx", None, None), (None, prose(rnd, 60), "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, _n int")
     lab = spark.createDataFrame(labels, "doc_id bigint, quality int")
-    kept = {r["doc_id"] for r in knquality.keep(docs.drop("_n"), lab, min_language=20).collect()}
+    kept = {r["doc_id"] for r in knquality.keep(docs, lab, min_language=20).collect()}
     good = {i for i in range(400) if i % 4}
     assert len(kept & good) >= 0.98 * len(good) and not kept & (set(range(400)) - good) and None in kept
-    assert knquality.keep(docs.drop("_n").where("false"), lab).count() == 0
-    assert knquality.keep(docs.drop("_n"), lab.where("false")).count() == len(rows)
+    assert knquality.keep(docs.where("false"), lab).count() == 0
+    kept_all = knquality.keep(docs, lab.where("false"))
+    assert kept_all.count() == len(rows) and kept_all.columns == docs.columns
 
 
 def test_chat_round_trip(spark):
