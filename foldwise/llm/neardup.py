@@ -188,12 +188,15 @@ def _verify(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float, screened: bool = False) -> DataFrame:
-    """(a, b, similarity) of those pairs (a, b) that are at least as similar as the threshold."""
-    if not screened:
-        sig = signed.select("id", "sig")
-        rows = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        pairs = rows.select("a", "b", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint")
+def screened(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose signatures agree enough."""
+    sig = signed.select("id", "sig")
+    rows = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    return rows.select("a", "b", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those screened pairs (a, b) that are at least as similar as the threshold."""
     pairs = materialise(pairs, "pairs")
     needed = materialise(texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi"), "texts")
     rows = pairs.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -234,7 +237,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
     buckets = materialise(buckets, "buckets")
     members = materialise(keyed.join(buckets, ["band", "key"]), "members")
     star = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    links = verified(star, signed, texts, threshold)
+    links = verified(screened(star, signed), texts, threshold)
     # An id with several classes holds them together.
     several = member.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b")).join(signed.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", F.lit(1.0).alias("similarity"))
     links = links.unionByName(several)
@@ -254,8 +257,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
     cut = large.where(F.col("n2") <= all_pairs).groupBy("band", "key", "band2", "key2").agg(packed).select("band", "members")
     inside = small.unionByName(cut).mapInArrow(_cross, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     again = large.where((F.col("n2") > all_pairs) & (F.col("id") != F.col("leader2"))).select(F.least("id", "leader2").alias("a"), F.greatest("id", "leader2").alias("b"))
-    rest = inside.unionByName(again).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(verified(rest, signed, texts, threshold)), "links")
+    # Pairs inside buckets have been screened there.
+    rest = inside.unionByName(screened(again.distinct(), signed)).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
+    links = materialise(links.unionByName(verified(rest, texts, threshold)), "links")
     comp = components(links)
 
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
