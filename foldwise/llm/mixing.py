@@ -60,7 +60,24 @@ LEVELS = (2.0 ** (np.arange(256) / 8) - 1).astype(np.float32)
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(8 * np.log2(1 + counts)), 255).astype(np.uint8)
+    """(n, 2) counts as one number a slot."""
+    level = np.minimum(np.rint(8 * np.log2(1 + counts)), 255).astype(np.uint16)
+    return level[:, 0] * np.uint16(256) + level[:, 1]
+
+
+def _responses() -> tuple[np.ndarray, np.ndarray]:
+    """For each packed pair of counts, as it is (row 0) and with one 0 or one 1 taken off (rows 1 and 2): the stretched
+    prediction, and how often the slot was seen, in GATE steps."""
+    n0, n1 = np.repeat(LEVELS.astype(np.float64), 256), np.tile(LEVELS.astype(np.float64), 256)
+    x, seen = [], []
+    for a, b in ((n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))):
+        total = a + b
+        x.append(np.log((b + 0.05) / (a + 0.05)) * (total / (total + 0.4)))
+        seen.append(np.minimum(np.log2(total + 1).astype(np.int64) // 2 + (total > 0), GATE - 1))
+    return np.concatenate(x).astype(np.float32), np.concatenate(seen).astype(np.int64)
+
+
+RESPONSE, SEEN = _responses()
 
 
 @dataclass
@@ -122,39 +139,43 @@ def bits_of(symbols: np.ndarray, ctx: list[np.ndarray]):
 
 def inputs(counts: np.ndarray, slots: list[np.ndarray], bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Stretched predictions (INPUTS, n) and the gate. With ``bit``, one occurrence of it is taken off."""
-    x = np.ones((INPUTS, len(slots[0])), np.float32)
+    x = np.full((INPUTS, len(slots[0])), 0.3, np.float32)
     gate = np.zeros(len(slots[0]), np.int64)
+    row = 0 if bit is None else (1 + bit.astype(np.int64)) * 65536
     for i, slot in enumerate(slots):
-        n = LEVELS[counts[slot]]
-        if bit is not None:
-            n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
-        total = n[:, 0] + n[:, 1]
-        x[i] = np.log((n[:, 1] + 0.05) / (n[:, 0] + 0.05)) * (total / (total + 0.4))
+        at = counts[slot] + row
+        x[i] = RESPONSE[at]
         if i in GATED:
-            gate = gate * GATE + np.minimum(np.log2(total + 1).astype(np.int64) // 2 + (total > 0), GATE - 1)
-    x[INPUTS - 1] = 0.3
+            gate = gate * GATE + SEEN[at]
     return x, gate
 
 
+def dot(weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    out = np.zeros(x.shape[1], np.float32)
+    for i in range(INPUTS):
+        out += weights[:, i].astype(np.float32)[gate] * x[i]
+    return np.clip(out, -11.5, 11.5)
+
+
 @dataclass
 class Model:
     """Everything that scoring needs; its size doesn't depend on the data."""
 
-    counts: np.ndarray  # (SLOTS, 2), packed
+    counts: np.ndarray  # (SLOTS,), packed
     pairs: np.ndarray  # (65536, languages) log likelihoods
     weights: np.ndarray  # (GATE * GATE, INPUTS)
     refine: np.ndarray  # (256, STEPS) probabilities
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((self.weights[gate].T * x).sum(0), -11.5, 11.5)
+        return dot(self.weights, x, gate)
 
-    def refined(self, dot: np.ndarray, before: np.ndarray) -> np.ndarray:
-        place = np.clip((dot + 8) * (STEPS - 1) / 16, 0, STEPS - 1.001)
+    def refined(self, mixed: np.ndarray, before: np.ndarray) -> np.ndarray:
+        place = np.clip((mixed + 8) * np.float32((STEPS - 1) / 16), 0, np.float32(STEPS - 1.001))
         low = place.astype(np.int64)
         part = place - low
-        row = self.refine[before.astype(np.int64)]
-        own = np.arange(len(dot))
-        return np.clip((squash(dot) + row[own, low] * (1 - part) + row[own, low + 1] * part) / 2, 1e-6, 1 - 1e-6)
+        at = before.astype(np.int64) * STEPS + low
+        flat = self.refine.ravel()
+        return np.clip((squash(mixed) + flat[at] * (1 - part) + flat[at + 1] * part) / 2, 1e-6, 1 - 1e-6)
 
     def log10(self, words: Words, state: np.ndarray) -> np.ndarray:
         """Log probability of each word, in its language state."""
@@ -288,7 +309,7 @@ def _learn_weights(sent):
             own = c[word]
             for _, bit, _, slots in bits_of(symbols, contexts(symbols, begin, state[word])):
                 x, gate = inputs(counts, slots, bit)
-                error = own * (bit - squash(np.clip((w[gate].T * x).sum(0), -11.5, 11.5)))
+                error = own * (bit - squash(dot(w, x, gate)))
                 here = np.bincount(gate, own, GATE * GATE)
                 some = here > 0
                 rate = 0.3 / np.sqrt(1 + mass[some] / 50_000) + 0.02

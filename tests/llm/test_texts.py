@@ -198,7 +198,7 @@ def test_bits_make_a_distribution():
     """The probabilities of all bytes after a context sum to 1."""
     import numpy as np
 
-    model = mixing.Model(np.random.default_rng(0).integers(0, 60, (mixing.SLOTS, 2)).astype(np.uint8), np.zeros((65536, 1)), np.full((mixing.GATE**2, mixing.INPUTS), 0.2), np.random.default_rng(1).uniform(0.1, 0.9, (256, mixing.STEPS)))
+    model = mixing.Model(mixing.packed(np.random.default_rng(0).integers(0, 60, (mixing.SLOTS, 2))), np.zeros((65536, 1)), np.full((mixing.GATE**2, mixing.INPUTS), 0.2), np.random.default_rng(1).uniform(0.1, 0.9, (256, mixing.STEPS)))
     one = mixing.Words(np.arange(256, dtype=np.uint64), np.array([b for x in range(256) for b in (97, x)], np.uint8), np.full(256, 2))
     symbols, word, begin = one.spelled()
     second = np.flatnonzero(np.arange(len(symbols)) - begin == 1)
@@ -207,7 +207,7 @@ def test_bits_make_a_distribution():
         x, gate = mixing.inputs(model.counts, slots, None)
         p = model.refined(model.mixed(x, gate), before)
         total += np.log(np.where(bit, p, 1 - p))
-    assert np.exp(total[second]).sum() == pytest.approx(1)
+    assert np.exp(total[second]).sum() == pytest.approx(1, rel=1e-4)
 
 
 def test_sharding(spark):
