@@ -14,8 +14,9 @@ number of slots, so they may be sent to all tasks, and are summed by parts. A wo
 counts while the mixer learns, so it learns what unseen words look like. The mixer learns online, in each task over its
 share of the words; tasks' weights are averaged by mass.
 
-For scoring, documents are dealt into chunks by a hash of their id; the distinct words of a chunk meet the global word
-counts in a join, and come back to the chunk. No table of words is broadcast or collected.
+For scoring, the words of all documents are spelled once for each state that they stand in. Documents are dealt into
+chunks by a hash of their id; the distinct words of a chunk meet the global counts and log probabilities in a join, and
+come back to the chunk. No table of words is broadcast or collected.
 
 Defined cases: null or empty text: one end. Null doc_id: its crc32 is that of the empty text (training). Repeated rows:
 each is counted and scored. No training tokens: counts are 0 and every bit has probability 1/2; base_score is null. An
@@ -259,10 +260,11 @@ def _state_words(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = sent.value
         for batch in batches:
-            for s in bytescan.slices(batch.column(0), 4 << 20):
+            train = ~batch.column(0).to_numpy(zero_copy_only=False)
+            for s in bytescan.slices(batch.column(1), 4 << 20):
                 words, tokens, texts = Words.of(s)
-                state = states(words, tokens, texts, pairs)
-                both, n = np.unique(tokens * 16 + state, return_counts=True)
+                both, back = np.unique(tokens * 16 + states(words, tokens, texts, pairs), return_inverse=True)
+                n = np.bincount(back, train[s.first + texts], len(both))
                 word = both // 16
                 stop = np.concatenate([[0], np.cumsum(words.size)])
                 column = pa.BinaryArray.from_buffers(pa.binary(), len(words.size), [None, pa.py_buffer(stop.astype(np.int32)), pa.py_buffer(words.data)]).take(pa.array(word))
@@ -337,13 +339,15 @@ def _refinements(sent):
     return run
 
 
-def learn(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of (text, lang) rows, and their words' counts (h, word, state, c)."""
-    spark = train.sparkSession
+def learn(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of those rows of (held_out, text, lang) that are not held out, and the words of all rows by state with
+    their counts in training (h, word, state, c)."""
+    spark = rows.sparkSession
     sc = spark.sparkContext
-    pairs = learn_languages(train)
-    found = train.select("text").mapInArrow(_state_words(sc.broadcast(pairs)), "h bigint, word binary, state int, c bigint")
-    vocabulary = materialise(found.groupBy("h", "word", "state").agg(F.sum("c").alias("c")), "words")
+    pairs = learn_languages(rows.where("NOT held_out"))
+    found = rows.select("held_out", "text").mapInArrow(_state_words(sc.broadcast(pairs)), "h bigint, word binary, state int, c bigint")
+    every_word = materialise(found.groupBy("h", "word", "state").agg(F.sum("c").alias("c")), "words")
+    vocabulary = every_word.where("c > 0")
     parts = vocabulary.coalesce(SUM_TASKS).mapInArrow(_slot_counts, "part int, counts binary").groupBy("part").applyInArrow(_sum_parts, "part int, counts binary")
     counts = np.zeros((PARTS, 2 * SLOTS // PARTS), np.float32)
     for r in parts.toLocalIterator():  # PARTS rows of fixed size
@@ -361,51 +365,56 @@ def learn(train: DataFrame) -> tuple[Model, DataFrame]:
         n[r["cell"]] = r["n0"], r["n1"]
     prior = 20.0
     model.refine = (n[:, 1].reshape(256, STEPS) + prior * centres) / (n.sum(1).reshape(256, STEPS) + prior)
-    return model, vocabulary
+    return model, every_word
 
 
-def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, ..., text) -> distinct (chunk, word hash) of each batch."""
-    for batch in batches:
-        chunks = batch.column(0).to_numpy(zero_copy_only=False)
-        for s in bytescan.slices(batch.column(3), 8 << 20):
-            start, end, owner = s.words()
-            h = s.hashes(start, end, bytescan.LOWER)
-            own = np.concatenate([chunks[s.first + owner], chunks[s.first : s.first + s.n]]).astype(np.int64)
-            h = np.concatenate([h, np.zeros(s.n, np.uint64)])
-            order = np.lexsort((h, own))
-            own, h = own[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(own[new]), pa.array(h[new].view(np.int64))], ["chunk", "h"])
+def _score_words(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, state, _ in _vocabulary(batches, 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)), pa.array(state.astype(np.int32)), pa.array(sent.value.log10(words, state))], ["h", "state", "logp"])
+
+    return run
+
+
+def _chunk_words(sent):
+    """(chunk, ..., text) -> distinct (chunk, word hash, state) of each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for s in bytescan.slices(batch.column(3), 8 << 20):
+                words, tokens, texts = Words.of(s)
+                own, local = np.unique(chunks[s.first : s.first + s.n], return_inverse=True)
+                key = np.unique((local[texts] * len(words.size) + tokens) * 16 + states(words, tokens, texts, sent.value))
+                word, chunk = key // 16 % len(words.size), own[key // 16 // len(words.size)]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(words.hash[word].view(np.int64)), pa.array((key % 16).astype(np.int32))], ["chunk", "h", "state"])
+
+    return run
+
+
+def _key(h: np.ndarray, state: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return bytescan.mix(h + state.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint"
 
 
 def _score_chunk(sent, n_train: int, n_words: int):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        model = sent.value
-        h = counts["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, c = h[order], counts["c"].to_numpy()[order]
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        key = _key(known["h"].to_numpy().view(np.uint64), known["state"].to_numpy())
+        order = np.argsort(key)
+        key, c, logp = key[order], known["c"].to_numpy()[order], known["logp"].to_numpy()[order]
         rows = {k: [] for k in ("n_tokens", "n_known", "base", "score", "n_bytes")}
         for s in bytescan.slices(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string()), 8 << 20):
             words, tokens, texts = Words.of(s)
-            at = np.minimum(np.searchsorted(h, words.hash), max(0, len(h) - 1))
-            own = np.where(h[at] == words.hash, c[at], 0) if len(h) else np.zeros(len(words.hash), np.int64)
-            base = np.log10(own + 1.0) - math.log10(n_train + n_words + 1)
-            state = states(words, tokens, texts, model.pairs)
-            both, back = np.unique(tokens * 16 + state, return_inverse=True)
-            stop = np.cumsum(words.size)
-            pick = both // 16
-            size = words.size[pick]
-            index = np.repeat(stop[pick] - size - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            score = model.log10(Words(words.hash[pick], words.data[index], size), both % 16)
+            both, back = np.unique(tokens * 16 + states(words, tokens, texts, sent.value), return_inverse=True)
+            at = np.searchsorted(key, _key(words.hash[both // 16], both % 16))  # every one is there
+            base = np.log10(c[at] + 1.0) - math.log10(n_train + n_words + 1)
             rows["n_tokens"].append(np.bincount(texts, minlength=s.n))
-            rows["n_known"].append(np.bincount(texts, own[tokens] > 0, s.n).astype(np.int64))
-            rows["base"].append(np.bincount(texts, base[tokens], s.n))
-            rows["score"].append(np.bincount(texts, score[back], s.n))
+            rows["n_known"].append(np.bincount(texts, (c[at] > 0)[back], s.n).astype(np.int64))
+            rows["base"].append(np.bincount(texts, base[back], s.n))
+            rows["score"].append(np.bincount(texts, logp[at][back], s.n))
             rows["n_bytes"].append(np.diff(s.off))
         got = {k: pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if k in ("base", "score") else pa.int64()) for k, v in rows.items()}
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], **got})
@@ -418,16 +427,19 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang").withColumn("held_out", held_out(F.col("doc_id")))
-    model, vocabulary = learn(rows.where("NOT held_out"))
-    counts = vocabulary.groupBy("h").agg(F.sum("c").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    model, every_word = learn(rows)
+    counts = every_word.groupBy("h").agg(F.sum("c").alias("c"))
+    total = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, n_words = total["n"] or 0, total["v"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", "held_out", "text").repartition(chunks, "chunk")
-    used = dealt.mapInArrow(_chunk_words, "chunk bigint, h bigint").distinct().join(counts, "h")
-    sent = spark.sparkContext.broadcast(model)
-    out = dealt.groupBy("chunk").cogroup(used.select("chunk", "h", "c").groupBy("chunk")).applyInArrow(_score_chunk(sent, n_train, n_words), SCORED)
+    # Each word is spelled once for each state, wherever it stands.
+    scored = every_word.mapInArrow(_score_words(spark.sparkContext.broadcast(model)), "h bigint, state int, logp double")
+    known = materialise(scored.join(counts, "h"), "scored")
+    sent = spark.sparkContext.broadcast(model.pairs)
+    used = dealt.mapInArrow(_chunk_words(sent), "chunk bigint, h bigint, state int").distinct().join(known, ["h", "state"])
+    out = dealt.groupBy("chunk").cogroup(used.select("chunk", "h", "state", "c", "logp").groupBy("chunk")).applyInArrow(_score_chunk(sent, n_train, n_words), SCORED)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), F.when(F.lit(n_train > 0), F.col("base")).alias("base_score"), "score",
         (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
