@@ -285,13 +285,13 @@ def _vocabulary(batches: Iterator[pa.RecordBatch], size: int):
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((SLOTS, 2), np.float32)
+    counts = np.zeros(2 * SLOTS, np.float32)
     for words, state, c in _vocabulary(batches, 20_000):
         symbols, word, begin = words.spelled()
         mass = c[word].astype(np.float32)
         for _, bit, _, slots in bits_of(symbols, contexts(symbols, begin, state[word])):
             for slot in slots:
-                np.add.at(counts, (slot, bit), mass)
+                np.add.at(counts, 2 * slot + bit, mass)
     for part, x in enumerate(counts.reshape(PARTS, -1)):
         if x.any():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "counts"])
@@ -332,7 +332,7 @@ def _refinements(sent):
             for _, bit, before, slots in bits_of(symbols, contexts(symbols, begin, state[word])):
                 x, gate = inputs(model.counts, slots, bit)
                 place = np.clip((model.mixed(x, gate) + 8) * (STEPS - 1) / 16 + 0.5, 0, STEPS - 1).astype(np.int64)
-                np.add.at(n, (before.astype(np.int64) * STEPS + place, bit), c[word])
+                n += np.bincount((before.astype(np.int64) * STEPS + place) * 2 + bit, c[word], 512 * STEPS).reshape(-1, 2)
         some = np.flatnonzero(n.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some, 0]), pa.array(n[some, 1])], ["cell", "n0", "n1"])
 
