@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower case. Each benchmark item offers its 3-word grams as seeds; their document
-frequency over the whole corpus is counted, and the rarer half of each item's seeds (at least ``LEAST_SEEDS``) is kept,
-so that an item that leaked into many documents still has seeds, while common phrases of an item start no alignment.
+Words are runs of letters and digits, lower case. All 3-word grams of a benchmark item are its seeds: an edited or
+partial copy is found by whichever of them it still has. A pair whose passage has too few of the item's words to reach
+the threshold, however they are ordered, is left out before the alignment; that drops nothing that could be reported.
 A passage that shares a seed with an item is aligned with it: local alignment of words, match 2, mismatch -1, gap -1,
 over the item's length with some slack around the seeds' diagonals. A document is contaminated by an item if the best
 score is at least ``THRESHOLD`` of the item's own (a copy scores 1, one with a fifth of its words replaced about 0.7).
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foldwise.llm import bytescan
 from foldwise.runtime import ship, table
 
-GRAM, MIN_WORDS, LEAST_SEEDS, THRESHOLD, BLOCK_BYTES = 3, 6, 6, 0.4, 32 << 20
+GRAM, MIN_WORDS, THRESHOLD, BLOCK_BYTES = 3, 6, 0.4, 32 << 20
+#: Aligned together: at most so many pairs, and about so many cells of a row over all of them.
+PAIRS, CELLS = 256, 4 << 20
 MATCH, MISMATCH, GAP = 2, 1, 1
 SCHEMA = "doc_id bigint, item_id bigint, score double, start_char bigint, end_char bigint"
 
@@ -49,9 +51,6 @@ class Items:
         good = lens[item] >= MIN_WORDS
         order = np.argsort(keys[good], kind="stable")
         self.seed, self.item, self.place = keys[good][order], item[good][order], (at - (np.cumsum(lens) - lens)[item])[good][order]
-        self._index()
-
-    def _index(self) -> None:
         self.distinct, self.first = np.unique(self.seed, return_index=True)
         bits = max(10, int(64 * max(1, len(self.distinct)) - 1).bit_length())
         self.shift = np.uint64(64 - bits)
@@ -67,16 +66,6 @@ class Items:
         hit = self.distinct[at] == keys[maybe]
         return maybe[hit], at[hit]
 
-    def keep_rare(self, frequency: np.ndarray) -> None:
-        """Keep the rarer half of each item's seeds."""
-        df = frequency[np.searchsorted(self.distinct, self.seed)]
-        order = np.lexsort((self.seed, df, self.item))
-        n = np.bincount(self.item, minlength=len(self.ids))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-        good = np.sort(order[rank < np.maximum(-(-n // 2), LEAST_SEEDS)[self.item[order]]])
-        self.seed, self.item, self.place = self.seed[good], self.item[good], self.place[good]
-        self._index()
-
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of each pair (item words, passage words): score, and the ends (exclusive) in a and b."""
@@ -102,6 +91,14 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, end_a, end_b
 
 
+def within_reach(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each pair, how many words of a are anywhere in b: no alignment of the pair has more matches."""
+    salt = bytescan.mix(np.arange(1, len(a) + 1, dtype=np.uint64))
+    of_a = np.repeat(np.arange(len(a)), list(map(len, a)))
+    there = np.isin(np.concatenate(a) ^ salt[of_a], np.concatenate(b) ^ np.repeat(salt, list(map(len, b))))
+    return np.bincount(of_a, there, len(a))
+
+
 def search(s: bytescan.Slice, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first and last character (exclusive)) of each contaminated text of the slice."""
     start, end, owner = s.words(bytescan.NOT_ALNUM)
@@ -132,7 +129,15 @@ def search(s: bytescan.Slice, items: Items, threshold: float) -> list[tuple[int,
     hi = np.minimum(diagonal[stop] + size[m] + slack[m], base[t] + n_words[t])
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     by_size = np.lexsort((hi - lo, size[m]))
-    for group in np.split(by_size, range(256, len(by_size), 256)):
+    at = 0
+    while at < len(by_size):
+        group = by_size[at : at + PAIRS]
+        group = group[: max(1, int(np.searchsorted(np.cumsum(hi[group] - lo[group]), CELLS)))]
+        at += len(group)
+        reach = within_reach([items.words[m[k]] for k in group], [h[lo[k] : hi[k]] for k in group])
+        group = group[reach >= threshold * size[m[group]]]
+        if not len(group):
+            continue
         a, b = [items.words[m[k]] for k in group], [h[lo[k] : hi[k]] for k in group]
         best, end_a, end_b = align(a, b)
         share = best / (MATCH * size[m[group]])
@@ -153,25 +158,8 @@ def search(s: bytescan.Slice, items: Items, threshold: float) -> list[tuple[int,
     return [(i, m, score, int(chars[start[a]] - zero[i]), int(chars[end[b - 1]] - zero[i])) for (i, m), (score, a, b) in sorted(found.items())]
 
 
-def _frequencies(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        df = np.zeros(len(items.distinct), np.int64)
-        for batch in batches:
-            for s in bytescan.slices(batch.column(0), lower=True):
-                start, end, owner = s.words(bytescan.NOT_ALNUM)
-                keys, at = bytescan.window_hashes(s.hashes(start, end), owner, GRAM)
-                where, seed = items.find(keys)
-                pairs = np.unique(owner[at[where]] * max(1, len(df)) + seed)
-                df += np.bincount(pairs % max(1, len(df)), minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], ["seed", "df"])
-
-    return run
-
-
 def blocks(benchmark: DataFrame, docs: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The benchmark as broadcast blocks of Items with rare seeds, one after the other."""
+    """The benchmark as broadcast blocks of Items, one after the other."""
     spark = docs.sparkSession
     ship(spark)
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -179,14 +167,7 @@ def blocks(benchmark: DataFrame, docs: DataFrame, block_bytes: int = BLOCK_BYTES
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()  # about block_bytes
-        items = Items([r[0] for r in own], [r[1] for r in own])
-        sent = spark.sparkContext.broadcast(items)
-        df = np.zeros(len(items.distinct), np.int64)
-        for seed, count in docs.select("text").mapInArrow(_frequencies(sent), "seed bigint, df bigint").groupBy("seed").agg(F.sum("df")).collect():  # at most the block's seeds
-            df[seed] = count
-        sent.unpersist()
-        items.keep_rare(df)
-        yield spark.sparkContext.broadcast(items)
+        yield spark.sparkContext.broadcast(Items([r[0] for r in own], [r[1] for r in own]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:

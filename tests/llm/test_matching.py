@@ -149,3 +149,37 @@ def test_contamination(spark):
     assert sorted(r["doc_id"] for r in decontam.keep(d, b).collect()) == [3, 4, 5, 6]
     assert decontam.keep(d, b).columns == d.columns
     assert decontam.contaminated(d.where("false"), b).count() == 0 and decontam.contaminated(d, b.where("false")).count() == 0
+
+
+def test_every_edited_or_partial_copy_is_found():
+    """Also where the item leaks verbatim elsewhere, and its broken grams are in no document."""
+    rnd = random.Random(29)
+    items, docs, due = [], [], set()
+    for i in range(60):
+        items.append(prose(rnd, rnd.choice((20, 40, 80))))
+        w = items[i].split()
+        for copy in (edited(rnd, items[i], 0.25), edited(rnd, items[i], 0.33), " ".join(w[: len(w) * 45 // 100])):
+            passage = decontam_share(w, copy.split())
+            if passage >= decontam.THRESHOLD and any(w[k : k + 3] == copy.split()[j : j + 3] for k in range(len(w) - 2) for j in range(len(copy.split()) - 2)):
+                due.add((len(docs), i))
+            docs.append("front " * 3 + copy + " back" * 3)
+    docs += items
+    due |= {(180 + i, i) for i in range(60)}
+    got = {r[:2]: r[2] for r in decontam.search(one_slice(docs), decontam.Items(list(range(60)), items), decontam.THRESHOLD)}
+    assert len(due) > 200 and due <= set(got)
+    assert all(got[d, i] == pytest.approx(decontam_share(items[i].split(), docs[d].split())) for d, i in due)
+
+
+def decontam_share(item, passage):
+    return smith_waterman(item, passage) / (2 * len(item))
+
+
+def test_edited_copies_beside_verbatim_ones(spark):
+    rnd = random.Random(31)
+    items = [prose(rnd, n) for n in (20, 40, 80) * 4]
+    w = [i.split() for i in items]
+    docs = [prose(rnd, 30) + " " + e + " " + prose(rnd, 30) for i, x in zip(items, w) for e in (edited(rnd, i, 0.25), " ".join(x[-(-len(x) * 45 // 100) :]), " ".join(x[: -(-len(x) * 45 // 100)]), i)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()}
+    assert {(k, k // 4) for k in range(48)} <= got
