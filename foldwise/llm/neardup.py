@@ -13,8 +13,9 @@ make the candidates; a pair at similarity 0.8 is missed by all bands with a chan
    plain Jaccard is at least ``THRESHOLD``.
 3. Links make components by label propagation with pointer jumping.
 4. Links that a leader can't show: buckets that still hold several components are compared inside, over their
-   signatures; those of more than ``ALL_PAIRS`` members are first cut by each other band (members that are alike share
-   several), and sub-buckets that are still larger go by a leader again. New links join the components.
+   signatures, whatever their size. Those of more than ``ALL_PAIRS`` members are dealt into blocks of about
+   ``BLOCK`` times as many, and each block meets each other one in a group of its own. So every pair of different
+   components that shares a band is screened, in the first band that it shares. New links join the components.
 
 Defined cases: null text: empty. Texts without words are alike only if equal byte for byte; under five words, all words
 are one shingle. Null doc_id: alone, with a null class and group. Rows of equal doc_id are one document: its groups are
@@ -37,7 +38,7 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
 #: Pairs whose signatures agree on less than this share of registers are nearly 4 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.66
-ALL_PAIRS = 64
+ALL_PAIRS, BLOCK = 64, 16
 
 
 def shingles(s: bytescan.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,29 +148,49 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(good)
 
 
+def _members(m) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """id, comp, sig and keys of bucket members."""
+    sig = np.frombuffer(b"".join(m("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    return m("id").to_numpy(), m("comp").to_numpy(), sig, m("keys").flatten().to_numpy().reshape(len(sig), -1)
+
+
+def _between(key: int, members: tuple, left: np.ndarray, right: np.ndarray | None) -> tuple[list, list]:
+    """Pairs of a bucket's members, one of ``left`` and one of ``right`` (of left if it is None), of different components
+    and with signatures that agree enough. A pair is left to the first band that it shares."""
+    ids, comp, sig, keys = members
+    band = np.argwhere(keys == key)[0, 1]
+    a_out, b_out = [], []
+    for k, i in enumerate(left):
+        hit = left[k + 1 :] if right is None else right
+        hit = hit[comp[hit] != comp[i]]
+        hit = hit[(sig[hit] == sig[i]).mean(1) >= LEAST_AGREEMENT]
+        hit = hit[(keys[hit] == keys[i]).argmax(1) == band]
+        a_out += [int(ids[i])] * len(hit)
+        b_out += ids[hit].tolist()
+    return a_out, b_out
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket a row (band, members: id, comp, sig, keys, small): pairs of different components whose signatures agree
-    enough. ``small`` has a bit for each band where the member's bucket is compared as a whole; a pair is left to the
-    first such band that it shares, or to the first band that it shares if there is none."""
+    """A small bucket a row (key, members: id, comp, sig, keys): pairs."""
     for batch in batches:
         a_out, b_out = [], []
-        for band, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for key, members in zip(batch.column(0).to_pylist(), batch.column(1)):
             m = members.values
-            ids, comp, small = (m.field(k).to_numpy() for k in ("id", "comp", "small"))
-            sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
-            keys = m.field("keys").flatten().to_numpy().reshape(-1, BANDS)
-            for i in range(len(ids) - 1):
-                hit = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((sig[i + 1 :] == sig[i]).mean(1) >= LEAST_AGREEMENT)) + i + 1
-                if len(hit):
-                    shared = ((keys[hit] == keys[i]) * (1 << np.arange(BANDS))).sum(1)
-                    whole = shared & small[i]
-                    own = np.where(whole > 0, whole, shared)
-                    hit = hit[(own & -own) == 1 << band]
-                    a_out += [int(ids[i])] * len(hit)
-                    b_out += ids[hit].tolist()
+            a, b = _between(key, _members(m.field), np.arange(len(m)), None)
+            a_out += a
+            b_out += b
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
+def _cross_blocks(group: tuple, t: pa.Table) -> pa.Table:
+    """(key, low, high): the pairs between those two blocks of a large bucket, or in one if they are the same."""
+    key, low, high = (k.as_py() for k in group)
+    block = t["block"].to_numpy()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    a, b = _between(key, _members(lambda c: t[c].combine_chunks()), left, None if low == high else right)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column):
@@ -231,11 +252,11 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
     signed = materialise(signed_all.join(prints, (F.col("id") == F.col("class")) & (signed_all.f1 == prints.f1) & (signed_all.f2 == prints.f2), "left_semi").dropDuplicates(["id", "f1", "f2"]), "reps")
     texts = known.join(signed.select("id"), "id", "left_semi")
 
-    keyed = signed.select("id", F.posexplode("keys").alias("band", "key"))
+    keyed = signed.select("id", F.explode("keys").alias("key"))  # keys of different bands differ
     order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    buckets = keyed.groupBy("band", "key").agg(F.min(order)["id"].alias("leader"), F.count("*").alias("n")).where("n > 1")
+    buckets = keyed.groupBy("key").agg(F.min(order)["id"].alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = materialise(buckets, "buckets")
-    members = materialise(keyed.join(buckets, ["band", "key"]), "members")
+    members = materialise(keyed.join(buckets, "key"), "members")
     star = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     links = verified(screened(star, signed), texts, threshold)
     # An id with several classes holds them together.
@@ -244,21 +265,17 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
     comp = components(links)
 
     named = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = named.groupBy("band", "key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band", "key")
-    small_bit = F.when(F.col("n") <= all_pairs, F.expr("shiftleft(1L, band)")).otherwise(0)
-    small_bands = members.groupBy("id").agg(F.sum(small_bit).alias("small"))
-    mixed_rows = named.join(mixed, ["band", "key"]).select("band", "key", "id", "comp", "n")
-    open_ = materialise(mixed_rows.join(signed.select("id", "sig", "keys"), "id").join(small_bands, "id"), "open")
-    packed = F.collect_list(F.struct("id", "comp", "sig", "keys", "small")).alias("members")  # at most all_pairs members
-    small = open_.where(F.col("n") <= all_pairs).groupBy("band", "key").agg(packed).select("band", "members")
-    large = open_.where(F.col("n") > all_pairs).select("band", "key", "id", "comp", "sig", "keys", "small", F.posexplode("keys").alias("band2", "key2")).where("band2 <> band")
-    sizes = large.groupBy("band", "key", "band2", "key2").agg(F.count("*").alias("n2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(order)["id"].alias("leader2")).where("c1 < c2")
-    large = large.join(sizes, ["band", "key", "band2", "key2"])
-    cut = large.where(F.col("n2") <= all_pairs).groupBy("band", "key", "band2", "key2").agg(packed).select("band", "members")
-    inside = small.unionByName(cut).mapInArrow(_cross, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = large.where((F.col("n2") > all_pairs) & (F.col("id") != F.col("leader2"))).select(F.least("id", "leader2").alias("a"), F.greatest("id", "leader2").alias("b"))
-    # Pairs inside buckets have been screened there.
-    rest = inside.unionByName(screened(again.distinct(), signed)).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = named.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("key")
+    mixed_rows = named.join(mixed, "key").select("key", "id", "comp", "n")
+    open_ = materialise(mixed_rows.join(signed.select("id", "sig", "keys"), "id").where("array_contains(keys, key)"), "open")
+    packed = F.collect_list(F.struct("id", "comp", "sig", "keys")).alias("members")  # at most all_pairs members
+    small = open_.where(F.col("n") <= all_pairs).groupBy("key").agg(packed).mapInArrow(_cross, "a bigint, b bigint")
+    n_blocks = F.ceil(F.col("n") / (BLOCK * all_pairs)).cast("bigint")
+    large = open_.where(F.col("n") > all_pairs).withColumn("block", F.pmod(F.xxhash64("id", "key"), n_blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
+    large = large.select("key", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "id", "comp", "sig", "keys")
+    blocks = large.groupBy("key", "low", "high").applyInArrow(_cross_blocks, "a bigint, b bigint")
+    inside = small.unionByName(blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = inside.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
     links = materialise(links.unionByName(verified(rest, texts, threshold)), "links")
     comp = components(links)
 

@@ -183,3 +183,39 @@ def test_edited_copies_beside_verbatim_ones(spark):
     b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()}
     assert {(k, k // 4) for k in range(48)} <= got
+
+
+def brute_force_groups(texts, alike):
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(texts[i], texts[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_links_inside_a_hot_template(spark):
+    """Most pairs are just below the threshold, so leaders join little and buckets stay large and mixed."""
+    rnd = random.Random(41)
+    base = prose(rnd, 200).split()
+
+    def changed(words, n):
+        out = list(words)
+        for i in rnd.sample(range(len(out)), n):
+            out[i] = f"new{rnd.randrange(10**9)}"
+        return out
+
+    ones = [changed(base, 3) for _ in range(100)]
+    texts = [" ".join(w) for w in ones + [changed(w, 3) for w in ones]]
+    due = brute_force_groups(texts, lambda a, b: jaccard(a, b) >= 0.8)
+    assert len(set(due)) > 40
+    for all_pairs in (64, 2):
+        got = groups_of(spark, [(i, t, "x", 1) for i, t in enumerate(texts)], all_pairs=all_pairs)
+        assert [got[i]["group_id"] for i in range(len(texts))] == due
