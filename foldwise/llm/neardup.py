@@ -6,6 +6,9 @@ ProbMinHash: each shingle is a Poisson process whose rate is its weight; its arr
 register keeps the earliest, and a process ends once it is later than every register of its text. Two texts agree on a
 register with the probability Jaccard similarity of their weighted sets. ``BANDS`` bands of ``ROWS`` registers each
 make the candidates; a pair at similarity 0.8 is missed by all bands with a chance under 1e-4.
+A link may also be one of plain Jaccard similarity, which can lie far above the weighted one where lines repeat. So
+each text has a second signature of the same hashes with weights of 1; it is the first one if no shingle repeats.
+Its bands make candidates too, and a pair is screened by the signature that agrees more.
 
 1. Exact copies (equal word sequences) become one class with its smallest id. Only classes go on.
 2. In each bucket (band and key) all members are compared with one leader, so a bucket of n makes n - 1 pairs.
@@ -36,8 +39,8 @@ from foldwise.runtime import materialise, ship, table
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
-#: Pairs whose signatures agree on less than this share of registers are nearly 4 standard deviations below the threshold.
-LEAST_AGREEMENT = 0.66
+#: Pairs whose signatures agree on less than this share of registers are over 4.5 standard deviations below the threshold.
+LEAST_AGREEMENT = 0.63
 ALL_PAIRS, BLOCK = 64, 16
 
 
@@ -121,36 +124,53 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, keys, weights, one, two = shingles(s)
             sig = prob_min_hash(own, keys, weights, s.n)
             filled = np.bincount(own, minlength=s.n) > 0
-            bands = np.zeros((s.n, BANDS), np.uint64)
-            with np.errstate(over="ignore"):
-                for r in range(ROWS):
-                    bands = bands * np.uint64(0xD6E8FEB86659FD93) + sig[:, r::ROWS]
-                bands = bytescan.mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64))
-            flat = np.where(filled, BANDS, 0)
-            column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat)]), pa.int32()), pa.array(bands[filled].ravel().view(np.int64)))
-            small = (sig & np.uint64(0xFFFF)).astype("<u2")
+            # Without repeated shingles both signatures are the same.
+            plain = sig.copy()
+            repeats = np.bincount(own, weights > 1, s.n) > 0
+            some = repeats[own]
+            number = np.cumsum(repeats) - 1
+            if some.any():
+                plain[repeats] = prob_min_hash(number[own[some]], keys[some], np.ones(int(some.sum())), int(repeats.sum()))
+            both = np.concatenate([_bands(sig), _bands(plain)], 1)
+            flat = np.where(filled, 2 * BANDS, 0)
+            column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat)]), pa.int32()), pa.array(both[filled].ravel().view(np.int64)))
+            small = (np.concatenate([sig, plain], 1) & np.uint64(0xFFFF)).astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(s.first, s.n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), column, pa.array([r.tobytes() for r in small], pa.binary())],
                 ["id", "f1", "f2", "keys", "sig"],
             )
 
 
-def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (a, b))
-    return (x == y).mean(1)
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """A key for each band of each signature."""
+    bands = np.zeros((len(sig), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            bands = bands * np.uint64(0xD6E8FEB86659FD93) + sig[:, r::ROWS]
+        return bytescan.mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal registers of (n, 2 * REGISTERS) and one or n others: by weights or plain, whichever is more."""
+    same = x == y
+    return np.maximum(same[:, :REGISTERS].mean(1), same[:, REGISTERS:].mean(1))
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, 2 * REGISTERS)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sa, sb) -> (a, b) whose signatures agree enough."""
     for batch in batches:
         if batch.num_rows:
-            good = pa.array(_agreement(batch.column(2), batch.column(3)) >= LEAST_AGREEMENT)
+            good = pa.array(_agreement(_signatures(batch.column(2)), _signatures(batch.column(3))) >= LEAST_AGREEMENT)
             yield batch.select(["a", "b"]).filter(good)
 
 
 def _members(m) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """id, comp, sig and keys of bucket members."""
-    sig = np.frombuffer(b"".join(m("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    sig = _signatures(m("sig"))
     return m("id").to_numpy(), m("comp").to_numpy(), sig, m("keys").flatten().to_numpy().reshape(len(sig), -1)
 
 
@@ -158,13 +178,15 @@ def _between(key: int, members: tuple, left: np.ndarray, right: np.ndarray | Non
     """Pairs of a bucket's members, one of ``left`` and one of ``right`` (of left if it is None), of different components
     and with signatures that agree enough. A pair is left to the first band that it shares."""
     ids, comp, sig, keys = members
-    band = np.argwhere(keys == key)[0, 1]
+    band = np.argwhere(keys == key)[0, 1] % BANDS
+    keys, plain = keys[:, :BANDS], keys[:, BANDS:]
     a_out, b_out = [], []
     for k, i in enumerate(left):
         hit = left[k + 1 :] if right is None else right
         hit = hit[comp[hit] != comp[i]]
-        hit = hit[(sig[hit] == sig[i]).mean(1) >= LEAST_AGREEMENT]
-        hit = hit[(keys[hit] == keys[i]).argmax(1) == band]
+        hit = hit[_agreement(sig[hit], sig[i]) >= LEAST_AGREEMENT]
+        shared = (keys[hit] == keys[i]) | (plain[hit] == plain[i]) | (keys[hit] == plain[i]) | (plain[hit] == keys[i])
+        hit = hit[shared.argmax(1) == band]
         a_out += [int(ids[i])] * len(hit)
         b_out += ids[hit].tolist()
     return a_out, b_out
@@ -252,7 +274,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
     signed = materialise(signed_all.join(prints, (F.col("id") == F.col("class")) & (signed_all.f1 == prints.f1) & (signed_all.f2 == prints.f2), "left_semi").dropDuplicates(["id", "f1", "f2"]), "reps")
     texts = known.join(signed.select("id"), "id", "left_semi")
 
-    keyed = signed.select("id", F.explode("keys").alias("key"))  # keys of different bands differ
+    keyed = signed.select("id", F.explode(F.array_distinct("keys")).alias("key"))  # keys of different bands differ
     order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
     buckets = keyed.groupBy("key").agg(F.min(order)["id"].alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = materialise(buckets, "buckets")

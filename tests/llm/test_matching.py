@@ -219,3 +219,16 @@ def test_links_inside_a_hot_template(spark):
     for all_pairs in (64, 2):
         got = groups_of(spark, [(i, t, "x", 1) for i, t in enumerate(texts)], all_pairs=all_pairs)
         assert [got[i]["group_id"] for i in range(len(texts))] == due
+
+
+def test_plain_links_of_texts_with_repeated_lines(spark):
+    """Plain Jaccard of 0.8 or more, far less by weight: what differs is a line that one text repeats."""
+    rnd = random.Random(43)
+    texts = []
+    for _ in range(40):
+        base, line = prose(rnd, 116), prose(rnd, 18)
+        texts += [base + " " + prose(rnd, 4), base + " " + " ".join([line] * 200)]
+    alike = [jaccard(a, b) for a, b in zip(texts[::2], texts[1::2])]
+    assert min(alike) >= 0.8
+    got = groups_of(spark, [(i, t, "x", 1) for i, t in enumerate(texts)])
+    assert [got[i]["group_id"] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
