@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from foldwise.operators import features as X, folds
+from foldwise.operators.scan import with_positions
 from foldwise.plans.validation import S, events, masks, r6, stages_sql
 from foldwise.runtime import table
 
@@ -207,4 +208,15 @@ QUERIES["staggered_times"] = (
     lambda spark, sf: table(spark, sf, "lineitem").where("l_orderkey % 100 = 1").select("l_orderkey", "l_linenumber", (F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.dense_rank().over(Window.orderBy("l_orderkey")) - 1, F.col("l_linenumber"))).alias("at")),
     "SELECT l_orderkey, l_linenumber, TIMESTAMP '2020-01-01' + to_days((dense_rank() OVER (ORDER BY l_orderkey) - 1)::INT) + to_hours(l_linenumber) AS at FROM lineitem WHERE l_orderkey % 100 = 1",
 )
+
+
+def _staggered(spark, sf):
+    """All orders, a minute apart and their lines a second apart: times stay in range, and no task holds all rows."""
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    rank = with_positions(x.select("l_orderkey").distinct(), ["l_orderkey"], "rank")
+    at = F.lit("2020-01-01").cast("timestamp_ntz") + F.col("rank") * F.expr("INTERVAL 1 MINUTE") + F.col("l_linenumber") * F.expr("INTERVAL 1 SECOND")
+    return x.join(rank, "l_orderkey").select("l_orderkey", "l_linenumber", at.alias("at"))
+
+
+QUERIES["staggered_times_whole"] = (_staggered, None)
 QUERIES["cluster_bootstrap"] = (lambda spark, sf: X.cluster_bootstrap(ev(spark, sf), "user_id", "value", 200), None)

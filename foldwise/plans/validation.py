@@ -116,6 +116,12 @@ QUERIES["point_in_interval"] = (
     f"WITH r AS ({LINES}), t AS ({labels_sql(4999)}) SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM t WHERE t.p <= r.p AND t.e >= r.p) AS hit FROM r",
 )
 
+# Over all of lineitem. The SQL above tests pair by pair, too slow there, so these are tested against brute force.
+QUERIES["merge_intervals_half_open_whole"] = (lambda spark, sf: intervals.merge_intervals(line_rows(spark, sf), "p", "e"), None)
+QUERIES["merge_intervals_closed_whole"] = (lambda spark, sf: intervals.merge_intervals(line_rows(spark, sf), "p", "e", closed=True), None)
+QUERIES["interval_semi_join_whole"] = (lambda spark, sf: intervals.overlaps_any(line_rows(spark, sf), line_rows(spark, sf)).select("l_orderkey", "l_linenumber", "hit"), None)
+QUERIES["point_in_interval_whole"] = (lambda spark, sf: intervals.in_any_closed(line_rows(spark, sf), line_rows(spark, sf)).select("l_orderkey", "l_linenumber", "hit"), None)
+
 
 def halves(spark, sf, lo, hi):
     s = events(spark, sf)
