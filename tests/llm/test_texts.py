@@ -265,3 +265,19 @@ def test_pipeline(spark):
         first.setdefault(group[i], i)
     assert out == set(first.values()) - leaks
     assert len(corpus_pipeline.STAGES) == 5 and bpe
+
+
+def test_chunks_follow_the_bytes_of_text(spark, monkeypatch):
+    size = 30 * 10**9
+    assert size / knquality.chunk_count(size, 64) <= knquality.CHUNK_BYTES and knquality.chunk_count(0, 100) == 100
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(i, "".join(rnd.choice("abc é") for _ in range(60))) for i in range(150)] + [(150, None)], "doc_id bigint, text string")
+    grams = docs.select("text").mapInArrow(knquality._distinct, "g bigint").distinct()
+    scores = grams.select("g", (-F.pmod("g", F.lit(97)) / 7.0).alias("logp"))
+    asked = []
+    count = knquality.chunk_count
+    monkeypatch.setattr(knquality, "CHUNK_BYTES", 100)
+    monkeypatch.setattr(knquality, "chunk_count", lambda *a: asked.append(count(*a)) or asked[-1])
+    got = [sorted((r["doc_id"], r["_n"], round(r["_logp"], 6)) for r in knquality.score(docs, scores, n).collect()) for n in (10**9, 0)]
+    assert got[0] == got[1] and len(got[0]) == 151
+    assert len(asked) == 1 and asked[0] >= 90
