@@ -6,6 +6,8 @@ text that is longer than a slice), never on the number of rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+#: For a second hash.
+OTHER_CODE = mix(_BYTE_CODE ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +87,11 @@ class Slice:
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
         return s, e, np.searchsorted(self.off, s, "right") - 1
 
-    def hashes(self, s: np.ndarray, e: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
+    def hashes(self, s: np.ndarray, e: np.ndarray, fold: np.ndarray = SAME, code: np.ndarray = _BYTE_CODE) -> np.ndarray:
         """A 64-bit hash of each byte range, equal wherever the (folded) bytes are equal."""
         p, inv = _powers(len(self.data) + 1)
         with np.errstate(over="ignore"):
-            total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_CODE[fold[self.data]] * p[:-1], dtype=np.uint64)])
+            total = np.concatenate([[np.uint64(0)], np.cumsum(code[fold][self.data] * p[:-1], dtype=np.uint64)])
             return mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64) * _ODD)
 
     def text(self, i: int) -> bytes:
@@ -128,6 +132,20 @@ def window_hashes(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.n
     return mix(h), at
 
 
+def tidy(run):
+    """``run`` for mapInArrow; when a task ends, memory that its worker doesn't use goes back to the system."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Sum (or count) by text number, as int64."""
     return np.bincount(owner, weights, n).astype(np.int64)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("public_tokenizers")
@@ -83,3 +84,61 @@ def test_token_files(spark, library, tmp_path, monkeypatch):
     empty = str(tmp_path / "empty")
     tokenfile.write_tokens(df.where("false"), empty)
     assert tokenfile.read_index(spark, empty).count() == 0
+
+
+def test_a_very_long_word_is_merged_in_time(library):
+    import time
+
+    rnd = random.Random(8)
+    coder = bpe.Speculative(wordbpe.default_path())
+    words = ["".join(rnd.choice("etaoinshr") for _ in range(n)) for n in (65, 300, 1 << 20)] + ["ab" * 5000, "a" * 9999]
+    began = time.process_time()
+    got = [coder.encode_new([w.encode()])[0].tolist() for w in words]
+    assert time.process_time() - began < 60
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_short_words_merged_together():
+    rnd = random.Random(9)
+    coder = bpe.Speculative(wordbpe.default_path())
+    words = ["".join(rnd.choice("etaoinshr#") for _ in range(rnd.randint(1, 70))) + coder.suffix for _ in range(500)] + ["e" * n + coder.suffix for n in range(1, 30)]
+    assert [tuple(x) for x in coder.merge_all(words)] == [coder.merge(w) for w in words]
+
+
+@pytest.mark.parametrize("limits", [(1_000_000, 6_000_000), (40, 6_000_000), (1_000_000, 60)])
+def test_forgetting_and_marks_change_nothing(library, limits):
+    """Strings of special tokens count in the raw text only; a table that forgets gives the same ids."""
+    rows = [t or "" for t in texts()] + ["<|ENDOFTEXT|> <|endoftext|>", "x<|endoftext|>", "a\xa0b", "ab" * 600 + " c", "A</W> </w"]
+    want = [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    for coder in (bpe.Speculative(wordbpe.default_path()), wordbpe.load(wordbpe.default_path())):
+        table = wordbpe.PieceTable(coder.encode_new, *limits)
+        for _ in range(2):
+            got = []
+            for k in range(0, len(rows), 50):
+                flat, size = wordbpe.encoded(coder, table, rows[k : k + 50])
+                got += [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])]
+            assert got == want
+
+
+def test_file_names_do_not_matter(spark, tmp_path):
+    """Ranges are ordered by the number in their files, as names stop to ascend at 100,000 files; equal ids over ranges."""
+    rows = [(i // 3 if i < 60 else 77, f"text {i % 7} of {i}") for i in range(90)] + [(None, None), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"number": F.lit("x"), "start": F.lit(1.5)})
+    path = tmp_path / "files"
+    tokenfile.write_tokens(df, str(path), n_files=6)
+    read = lambda: sorted((r["start"], r["doc_id"], r["ids_crc32"]) for r in tokenfile.read_index(spark, str(path)).collect())
+    before = read()
+    files = sorted(path.glob("part-*"))
+    assert len(files) > 4
+    for k, f in enumerate(files):
+        f.rename(path / f"part-{99_999 - k:05d}{f.name[10:]}")
+    assert read() == before and [r[1] is None for r in before] == [True] * 2 + [False] * 90
+
+
+def test_very_long_texts_and_repeated_rows(spark, library):
+    long = "word " * 300_000
+    rows = [(1, long), (1, long), (2, "x"), (2, "x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"n_tokens": F.lit(0), "ids": F.lit("y"), "decoded": F.lit(2)})
+    n = {len(long): len(library.encode(long, add_special_tokens=False).ids), 1: 1}
+    got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.digests(df).collect())
+    assert got == [(0, 0), (1, n[len(long)]), (1, n[len(long)]), (2, 1), (2, 1)]
