@@ -15,14 +15,17 @@ Its bands make candidates too, and a pair is screened by the signature that agre
    Signatures sort out, then the exact similarity of the texts decides: the larger of probability Jaccard and
    plain Jaccard is at least ``THRESHOLD``.
 3. Links make components by label propagation with pointer jumping.
-4. Links that a leader can't show: buckets that still hold several components are compared inside, over their
-   signatures, whatever their size. Those of more than ``ALL_PAIRS`` members are dealt into blocks of about
-   ``BLOCK`` times as many, and each block meets each other one in a group of its own. So every pair of different
-   components that shares a band is screened, in the first band that it shares. New links join the components.
+4. Links that a leader can't show: buckets that still hold several components go on in rounds, with the shingles of
+   their members beside them. The member nearest to the bucket's consensus leads; all members of other components
+   that pass the screen are compared with it, exactly and in place, and those that link join its component before the
+   next one leads. So a bucket costs its members times the clusters in it, and no pair becomes a row. A pair is left
+   to the first band that it shares; no pair of components that shares a band is left out. Buckets of more than
+   ``BLOCK`` times ``ALL_PAIRS`` members or ``BLOCK_BYTES`` of shingles are dealt into blocks, and each block meets
+   each other one in a group of its own. New links join the components.
 
 Defined cases: null text: empty. Texts without words are alike only if equal byte for byte; under five words, all words
 are one shingle. Null doc_id: alone, with a null class and group. Rows of equal doc_id are one document: its groups are
-joined. Repeated rows: all listed by ``groups``, one stays in ``keep``. Ties of leaders: by hash, then id. An empty
+joined, and ``keep`` leaves one row of each of its texts. Repeated rows: all listed by ``groups``, one stays in ``keep``. Ties of leaders: by hash, then id. An empty
 table stays empty.
 """
 
@@ -41,7 +44,9 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
 #: Pairs whose signatures agree on less than this share of registers are over 4.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.63
-ALL_PAIRS, BLOCK = 64, 16
+ALL_PAIRS, BLOCK, BLOCK_BYTES = 64, 16, 16 << 20
+#: Parts that rows of one class are dealt to.
+SALTS = 16
 
 
 def shingles(s: bytescan.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,49 +173,93 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(good)
 
 
-def _members(m) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """id, comp, sig and keys of bucket members."""
-    sig = _signatures(m("sig"))
-    return m("id").to_numpy(), m("comp").to_numpy(), sig, m("keys").flatten().to_numpy().reshape(len(sig), -1)
+def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> id, fingerprint, distinct shingles and their weights as bytes."""
+    for batch in batches:
+        for s in bytescan.slices(batch.column(1), lower=True):
+            own, keys, weights, one, two = shingles(s)
+            cut = np.searchsorted(own, np.arange(s.n + 1)).tolist()
+            parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:])] for x in (keys.astype("<u8"), weights.astype("<f8"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(x, pa.binary()) for x in parts)], ["id", "f1", "f2", "items", "weights"])
 
 
-def _between(key: int, members: tuple, left: np.ndarray, right: np.ndarray | None) -> tuple[list, list]:
-    """Pairs of a bucket's members, one of ``left`` and one of ``right`` (of left if it is None), of different components
-    and with signatures that agree enough. A pair is left to the first band that it shares."""
-    ids, comp, sig, keys = members
+def _rounds(key: int, t: pa.Table, threshold: float) -> tuple[list, list, list]:
+    """Links between members of a bucket (or two blocks of it) that join different components."""
+    ids, comp, block = (t[c].to_numpy() for c in ("id", "comp", "block"))
+    keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    sig, items, weights = _signatures(t["sig"]), t["items"], t["weights"]
     band = np.argwhere(keys == key)[0, 1] % BANDS
     keys, plain = keys[:, :BANDS], keys[:, BANDS:]
-    a_out, b_out = [], []
-    for k, i in enumerate(left):
-        hit = left[k + 1 :] if right is None else right
+    comp = np.unique(comp, return_inverse=True)[1]
+    one_side = block.min() == block.max()
+    # The consensus: the value in the middle of each register once they are sorted, which is what most have if most agree.
+    near = (sig == np.sort(sig, axis=0)[len(sig) // 2]).sum(1)
+    order = np.lexsort((ids, -near))
+    sets: dict[int, tuple] = {}
+
+    def of(i: int) -> tuple:
+        if i not in sets:
+            sets[i] = np.frombuffer(items[i].as_py(), "<u8"), np.frombuffer(weights[i].as_py(), "<f8")
+        return sets[i]
+
+    out: tuple[list, list, list] = [], [], []
+    for k, i in enumerate(order):
+        hit = order[k + 1 :]
         hit = hit[comp[hit] != comp[i]]
-        hit = hit[_agreement(sig[hit], sig[i]) >= LEAST_AGREEMENT]
+        if not one_side:
+            hit = hit[block[hit] != block[i]]
+        if not len(hit):
+            continue
+        share = _agreement(sig[hit], sig[i])
+        hit, share = hit[share >= LEAST_AGREEMENT], share[share >= LEAST_AGREEMENT]
         shared = (keys[hit] == keys[i]) | (plain[hit] == plain[i]) | (keys[hit] == plain[i]) | (plain[hit] == keys[i])
-        hit = hit[shared.argmax(1) == band]
-        a_out += [int(ids[i])] * len(hit)
-        b_out += ids[hit].tolist()
-    return a_out, b_out
+        first = shared.argmax(1) == band if len(hit) else np.zeros(0, bool)
+        for j in hit[first][np.argsort(-share[first], kind="stable")]:
+            if comp[j] == comp[i]:
+                continue
+            (ka, wa), (kb, wb) = of(i), of(j)
+            alike = plain_jaccard(ka, kb)
+            if alike < threshold:
+                alike = max(alike, probability_jaccard(ka, wa, kb, wb))
+            if alike >= threshold:
+                comp[comp == comp[j]] = comp[i]
+                out[0].append(int(min(ids[i], ids[j])))
+                out[1].append(int(max(ids[i], ids[j])))
+                out[2].append(alike)
+    return out
+
+
+def _cells(threshold: float):
+    """A cell of whole buckets, or of two blocks of one: links."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("id", "ascending")])
+        names = [t[c].to_numpy() for c in ("key", "low", "high")]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in names])
+        found: tuple[list, list, list] = [], [], []
+        at = np.append(np.flatnonzero(new), t.num_rows).tolist()
+        for a, b in zip(at, at[1:]):
+            for x, y in zip(found, _rounds(names[0][a], t.slice(a, b - a), threshold)):
+                x += y
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["a", "b", "similarity"])
 
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A small bucket a row (key, members: id, comp, sig, keys): pairs."""
-    for batch in batches:
-        a_out, b_out = [], []
-        for key, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-            m = members.values
-            a, b = _between(key, _members(m.field), np.arange(len(m)), None)
-            a_out += a
-            b_out += b
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+    return run
 
 
-def _cross_blocks(group: tuple, t: pa.Table) -> pa.Table:
-    """(key, low, high): the pairs between those two blocks of a large bucket, or in one if they are the same."""
-    key, low, high = (k.as_py() for k in group)
-    block = t["block"].to_numpy()
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    a, b = _between(key, _members(lambda c: t[c].combine_chunks()), left, None if low == high else right)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def cross_links(open_: DataFrame, threshold: float, all_pairs: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b, similarity) of links inside buckets (key, id, comp, sig, keys, items, weights) with several components."""
+    size = F.octet_length("items") + F.octet_length("weights") + F.octet_length("sig") + 8 * F.size("keys")
+    sizes = open_.groupBy("key").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    n_blocks = F.greatest(F.ceil(F.col("n") / (BLOCK * all_pairs)), F.ceil(F.col("bytes") / block_bytes)).cast("bigint")
+    sizes = materialise(sizes.select("key", n_blocks.alias("n_blocks"), "bytes"), "sizes")
+    cells = -(-(sizes.where("n_blocks = 1").agg(F.sum("bytes")).first()[0] or 0) // max(1, block_bytes // 4)) + 1
+    rows = open_.join(sizes.select("key", "n_blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("n_blocks")))
+    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "_with")).withColumn("high", F.greatest("block", "_with"))
+    cell = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.xxhash64("key", "low", "high"))
+    rows = rows.select(cell.alias("cell"), "key", "low", "high", "block", "id", "comp", "sig", "keys", "items", "weights")
+    return rows.groupBy("cell").applyInArrow(_cells(threshold), "a bigint, b bigint, similarity double")
 
 
 def _verify(threshold: float):
@@ -267,9 +316,12 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     known = rows.where("id IS NOT NULL")
-    signed_all = materialise(known.mapInArrow(_sign, "id bigint, f1 bigint, f2 bigint, keys array<bigint>, sig binary"), "signed")
-    prints = signed_all.groupBy("f1", "f2").agg(F.min("id").alias("class"))
-    member = materialise(signed_all.select("id", "f1", "f2").join(prints, ["f1", "f2"]).select("id", "class"), "classes")
+    signed_all = materialise(known.mapInArrow(bytescan.tidy(_sign), "id bigint, f1 bigint, f2 bigint, keys array<bigint>, sig binary"), "signed")
+    prints = signed_all.groupBy("f1", "f2").agg(F.min("id").alias("class"), F.count("*").alias("n"))
+    # Only classes of several rows meet their rows; a class may hold a third of all, so its rows are dealt by a salt.
+    many = prints.where("n > 1").select("f1", "f2", "class", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = signed_all.select("id", "f1", "f2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    member = materialise(salted.join(many, ["f1", "f2", "salt"], "left").select("id", F.coalesce("class", "id").alias("class")), "classes")
     # One row a class. Where an id stands for several texts, each of them is compared.
     signed = materialise(signed_all.join(prints, (F.col("id") == F.col("class")) & (signed_all.f1 == prints.f1) & (signed_all.f2 == prints.f2), "left_semi").dropDuplicates(["id", "f1", "f2"]), "reps")
     texts = known.join(signed.select("id"), "id", "left_semi")
@@ -288,17 +340,12 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
 
     named = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = named.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("key")
-    mixed_rows = named.join(mixed, "key").select("key", "id", "comp", "n")
-    open_ = materialise(mixed_rows.join(signed.select("id", "sig", "keys"), "id").where("array_contains(keys, key)"), "open")
-    packed = F.collect_list(F.struct("id", "comp", "sig", "keys")).alias("members")  # at most all_pairs members
-    small = open_.where(F.col("n") <= all_pairs).groupBy("key").agg(packed).mapInArrow(_cross, "a bigint, b bigint")
-    n_blocks = F.ceil(F.col("n") / (BLOCK * all_pairs)).cast("bigint")
-    large = open_.where(F.col("n") > all_pairs).withColumn("block", F.pmod(F.xxhash64("id", "key"), n_blocks)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
-    large = large.select("key", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "block", "id", "comp", "sig", "keys")
-    blocks = large.groupBy("key", "low", "high").applyInArrow(_cross_blocks, "a bigint, b bigint")
-    inside = small.unionByName(blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = inside.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(verified(rest, texts, threshold)), "links")
+    mixed_rows = materialise(named.join(mixed, "key").select("key", "id", "comp").distinct(), "mixed")
+    inside = texts.join(mixed_rows.select("id").distinct(), "id", "left_semi").select("id", "text")
+    sets = materialise(inside.mapInArrow(bytescan.tidy(_packed_sets), "id bigint, f1 bigint, f2 bigint, items binary, weights binary").dropDuplicates(["id", "f1", "f2"]), "sets")
+    full = mixed_rows.join(signed.select("id", "f1", "f2", "sig", "keys"), "id").where("array_contains(keys, key)").join(sets, ["id", "f1", "f2"]).drop("f1", "f2")
+    more = cross_links(materialise(full, "open"), threshold, all_pairs)
+    links = materialise(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
     comp = components(links)
 
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
@@ -316,9 +363,12 @@ def keep(docs: DataFrame, **settings) -> DataFrame:
     gone = per_id.where("doc_id <> _group").select(F.col("doc_id").alias("_gone"))
     kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
     if per_id.where("_rows > 1").limit(1).count():
-        # Rows repeat an id: one of each stays.
+        # Rows repeat an id: one of each of its texts stays. Words decide, or bytes where there are none.
+        words = F.trim(F.regexp_replace(F.lower("text"), r"[\x00-\x7F&&[^a-z0-9]]+", " "))
         null = kept.where("doc_id IS NULL")
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(null)
+        own = "_words" + "_" * max(map(len, docs.columns))  # no column of that name
+        named = kept.where("doc_id IS NOT NULL").withColumn(own, F.when(words != "", words).otherwise(F.coalesce("text", F.lit(""))))
+        kept = named.dropDuplicates(["doc_id", own]).select(*(F.col(f"`{c}`") for c in kept.columns)).unionByName(null)
     return kept
 
 

@@ -232,3 +232,59 @@ def test_plain_links_of_texts_with_repeated_lines(spark):
     assert min(alike) >= 0.8
     got = groups_of(spark, [(i, t, "x", 1) for i, t in enumerate(texts)])
     assert [got[i]["group_id"] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
+def test_a_large_group_that_holds_several_clusters(spark):
+    """2,000 near copies of one template in clusters; small blocks, so that they meet in many cells."""
+    rnd = random.Random(47)
+    base = prose(rnd, 60).split()
+
+    def changed(words, n):
+        out = list(words)
+        for i in rnd.sample(range(len(out)), n):
+            out[i] = f"new{rnd.randrange(10**9)}"
+        return out
+
+    centres = [changed(base, 2) for _ in range(20)]
+    texts = [" ".join(changed(rnd.choice(centres), rnd.randint(0, 1))) for _ in range(2000)]
+    sets = [shingle_set(t) for t in texts]
+    where = {}
+    for i, x in enumerate(sets):
+        for g in x:
+            where.setdefault(g, []).append(i)
+    index = {g: k for k, g in enumerate(where)}
+    has = np.zeros((len(texts), len(index)), np.float32)
+    for g, rows in where.items():
+        has[rows, index[g]] = 1
+    common = has @ has.T
+    size = has.sum(1)
+    alike = common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-3
+    due = brute_force_components(alike)
+    for settings in ({}, {"all_pairs": 20}):
+        got = groups_of(spark, [(i, t, "x", 1) for i, t in enumerate(texts)], **settings)
+        mine = np.array([got[i]["group_id"] for i in range(len(texts))])
+        assert (mine == due).mean() >= 0.95
+        linked = np.argwhere(np.triu(alike, 1))
+        assert (mine[linked[:, 0]] == mine[linked[:, 1]]).mean() >= 0.999
+
+
+def brute_force_components(alike):
+    label = np.arange(len(alike))
+    while True:
+        low = np.where(alike, label[None, :], len(alike)).min(1)
+        low = np.minimum(low, label)
+        if (low == label).all():
+            return label
+        label = low
+
+
+def test_long_texts_and_several_texts_under_one_id(spark):
+    rnd = random.Random(53)
+    long = prose(rnd, 60_000)
+    rows = [(1, long), (2, long + " and more"), (3, prose(rnd, 40)), (3, prose(rnd, 40)), (3, None), (None, long), (None, None), (4, "!"), (4, "?"), (4, "!")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"_words": F.lit(1), "class": F.lit("x"), "leader": F.lit(2)})
+    got = {r["doc_id"]: r for r in neardup.groups(df).collect() if r["doc_id"]}
+    assert got[2]["group_id"] == got[1]["group_id"] == 1 and got[3]["group_id"] == 3
+    kept = sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in neardup.keep(df).collect())
+    assert kept == sorted([(0, len(long)), (0, 0), (1, len(long)), (3, len(rows[2][1])), (3, len(rows[3][1])), (3, 0), (4, 1), (4, 1)])
+    assert neardup.keep(df).columns == df.columns
