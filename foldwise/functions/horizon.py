@@ -7,9 +7,11 @@ import re
 from datetime import timedelta
 from numbers import Real
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, DateType, DayTimeIntervalType, TimestampNTZType, TimestampType
 
+from foldwise.operators.scan import ordered_scan
+
 #: Calendar codes that name no fixed duration.
 CALENDAR_CODES = ("M", "Y", "MS", "YS", "BM", "BMS", "BY", "BYS", "ME", "YE", "Q", "QS", "QE")
 
@@ -80,6 +82,15 @@ def check_times_schema(df: DataFrame, pred: str, eval_: str) -> None:
         raise ValueError("times and durations don't mix")
 
 
+def aligned(df: DataFrame, *names: str) -> list[Column]:
+    """Time columns of one kind: where instants (TIMESTAMP) meet times without a zone, the instants are read in UTC."""
+    kinds = [df.schema[c].dataType for c in names]
+    if len({type(k) for k in kinds}) == 1 or not any(isinstance(k, TimestampNTZType) for k in kinds):
+        return [F.col(c) for c in names]
+    utc = "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_micros(`{}`) as decimal(24, 0)) / 1000000)"
+    return [F.expr(utc.format(c)) if isinstance(k, TimestampType) else F.col(c).cast("timestamp_ntz") if isinstance(k, DateType) else F.col(c) for c, k in zip(names, kinds)]
+
+
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Whether two intervals overlap. An empty interval strictly inside another does."""
     return ~((a1 <= b0) | (b1 <= a0))
@@ -95,10 +106,10 @@ def horizons_overlap(a0, a1, b0, b1) -> bool:
     return not (a1 <= b0 or b1 <= a0)
 
 
-def time_faults(df: DataFrame, pos: str, pred: str, eval_: str) -> DataFrame:
+def time_faults(df: DataFrame, pos: str, pred: str, eval_: str, parallel: bool | None = None) -> DataFrame:
     """One row: missing times, rows that end before they start, the first of these, and steps back in time."""
-    w = Window.orderBy(pos)
-    stepped = df.withColumn("_before", F.lag(pred).over(w))
+    # The row before, also if its time is missing: a struct is never null.
+    stepped = ordered_scan(df.select(pos, pred, eval_), [pos], {"_last": ("last", F.struct(F.col(pred).alias("t")), "before")}, parallel).withColumn("_before", F.col("_last.t"))
     one = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).cast("bigint")
     return stepped.agg(
         one(F.col(pred).isNull() | F.col(eval_).isNull()).alias("n_missing"), one(F.col(eval_) < F.col(pred)).alias("n_reversed"),

@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foldwise.functions.horizon import check_integer
+from foldwise.operators.scan import ordered_scan
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -132,9 +133,10 @@ def minimum_backtest_length(n_trials: int, target_sharpe: float = 1.0) -> float:
 def effective_trials(df: DataFrame, value: str, t: str, *by: str, lags: int = 32) -> DataFrame:
     """by..., n, effective: n over 1 + 2 x the sum of autocorrelations up to the first that isn't positive, rounded half
     to even, in 1..n. Under 3 values: n; without variance: 1. Lags are tried in growing runs until all keys are done."""
-    x = df.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(t)).alias("_i") if by else F.row_number().over(Window.orderBy(t)).alias("_i"), F.col(value).cast("double").alias("_x"))
+    x = ordered_scan(df.select(*by, F.col(t).alias("_t"), F.col(value).cast("double").alias("_x")), ["_t"], {"_i": ("count", F.lit(1))}, by=by).drop("_t")
     w = Window.partitionBy(*by)
-    x = x.withColumn("_z", F.col("_x") - F.avg("_x").over(w)).withColumn("_n", F.count("*").over(w))
+    x = x.withColumn("_m", F.avg("_x").over(w)) if by else x.crossJoin(F.broadcast(x.agg(F.avg("_x").alias("_m"))))  # one row
+    x = x.withColumn("_z", F.col("_x") - F.col("_m")).drop("_m")
     keys = x.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_z") * F.col("_z")).alias("ss"), (F.max("_x") > F.min("_x")).alias("varies"))
     longest = keys.agg(F.max("n")).first()[0] or 0
     while True:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foldwise.operators.scan import with_positions
+
 
 def _frame(by: list[str], order: list[str], a: int, b: int):
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(a, b)
@@ -120,6 +122,6 @@ def cluster_bootstrap(df: DataFrame, entity: str, value: str, resamples: int, se
     aggregated first, so the resamples move two numbers an entity."""
     per = df.groupBy(entity).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     n = per.count()
-    ranked = per.withColumn("_i", F.row_number().over(Window.orderBy(entity)) - 1)
-    draws = df.sparkSession.range(resamples * n).select((F.floor(F.col("id") / n)).alias("b"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int").alias("_i"))
+    ranked = with_positions(per, [entity], "_i")
+    draws = df.sparkSession.range(resamples * n).select((F.floor(F.col("id") / n)).alias("b"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_i"))
     return draws.join(ranked, "_i").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("mean"))

@@ -8,20 +8,19 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.horizon import embargo_mode, parse_horizon
 from foldwise.operators.scan import ordered_scan
 
 
-def merge_intervals(df: DataFrame, start: str, end: str, closed: bool = False) -> DataFrame:
+def merge_intervals(df: DataFrame, start: str, end: str, closed: bool = False, parallel: bool | None = None) -> DataFrame:
     """(start, end) of the union of the intervals. Touching ones merge. Half-open: empty ones are left out; closed: kept."""
     own = df.select(F.col(start).alias("start"), F.col(end).alias("end")).where(F.col("start") <= F.col("end") if closed else F.col("start") < F.col("end")).distinct()
-    swept = ordered_scan(own, ["start", "end"], {"_reach": ("max", F.col("end"))})
-    # The reach before this row decides whether a new island starts.
-    w = Window.orderBy("start", "end")
-    marked = swept.withColumn("_new", F.coalesce((F.col("start") > F.lag("_reach").over(w)).cast("int"), F.lit(1)))
-    return ordered_scan(marked, ["start", "end"], {"_island": ("sum", F.col("_new"))}).groupBy("_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    # The reach before a row decides whether a new island starts.
+    swept = ordered_scan(own, ["start", "end"], {"_reach": ("max", F.col("end"), "before")}, parallel)
+    marked = swept.withColumn("_new", F.coalesce((F.col("start") > F.col("_reach")).cast("int"), F.lit(1)))
+    return ordered_scan(marked, ["start", "end"], {"_island": ("sum", F.col("_new"))}, parallel).groupBy("_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def sweep_masks(rows: DataFrame, tests: DataFrame, n_blocks: int, row_key: Column, test_key: Column, reach: Column, rows_first: bool, hit) -> DataFrame:
@@ -54,6 +53,41 @@ def embargo_masks(rows: DataFrame, tests: DataFrame, n_blocks: int, embargo: tim
     return sweep_masks(rows, tests, n_blocks, F.col("p"), F.col("e"), F.col("e"), False, lambda last: F.col("p") <= last + F.lit(embargo))
 
 
+def _in_blocks(rows: DataFrame, tests: DataFrame, row_key: Column, test_key: Column, reach: Column, rows_first: bool, hit) -> DataFrame:
+    """(pos, block) of those pairs (pos, block, p, e) for which ``hit(largest reach of the block's tests up to the row's key)``
+    holds: one sweep inside each block, whatever the number of blocks."""
+    kinds = rows.schema
+    probes = rows.select("pos", "block", "p", "e", row_key.alias("_k"), F.lit(0 if rows_first else 1).alias("_o"), F.lit(None).cast(_type(tests, reach)).alias("_r"))
+    empty = [F.lit(None).cast(kinds[c].dataType).alias(c) for c in ("p", "e")]
+    marks = tests.select(F.lit(None).cast("bigint").alias("pos"), F.col("block").cast("int").alias("block"), *empty, test_key.alias("_k"), F.lit(1 if rows_first else 0).alias("_o"), reach.alias("_r"))
+    swept = ordered_scan(probes.unionByName(marks), ["_k", "_o"], {"_reach": ("max", F.col("_r"))}, by=["block"])
+    return swept.where(F.col("pos").isNotNull() & F.coalesce(hit(F.col("_reach")), F.lit(False))).select("pos", "block")
+
+
+def purged_pairs(pairs: DataFrame, tests: DataFrame, horizon: timedelta | None = None) -> DataFrame:
+    """As ``purge_masks``, for given pairs of rows and blocks."""
+    pad = F.lit(horizon or timedelta(0))
+    tests = tests.select("block", (F.col("p") - pad).alias("p"), (F.col("e") + pad).alias("e")).where("p < e")
+    return _in_blocks(pairs, tests, F.col("e"), F.col("p"), F.col("e"), True, lambda reach: (F.col("p") < F.col("e")) & (reach > F.col("p")))
+
+
+def embargoed_pairs(pairs: DataFrame, tests: DataFrame, embargo: timedelta) -> DataFrame:
+    """As ``embargo_masks``, for given pairs of rows and blocks."""
+    return _in_blocks(pairs, tests, F.col("p"), F.col("e"), F.col("e"), False, lambda last: F.col("p") <= last + F.lit(embargo))
+
+
+def hit_blocks(rows: DataFrame, tests: DataFrame, a: Column, z: Column, low: Column, high: Column, in_blocks) -> DataFrame:
+    """(pos, blocks): the blocks that hit each row that any hits. ``in_blocks`` keeps those pairs of rows and blocks that
+    do, out of the pairs in which the row meets the hull of the block's tests; see ``prune`` for the other arguments."""
+    hulls = tests.groupBy("block").agg(F.min(a).alias("a"), F.max(z).alias("z")).collect()  # one row a block
+    if not hulls:
+        return rows.where("false").select("pos", F.array().cast("array<int>").alias("blocks"))
+    known = F.array(*[F.struct(F.lit(h["block"]).cast("int").alias("b"), F.lit(h["a"]).alias("a"), F.lit(h["z"]).alias("z")) for h in hulls])
+    met = F.filter(known, lambda h: (low <= h["z"]) & (high >= h["a"]) & ~h["b"].eqNullSafe(F.col("block")))
+    pairs = rows.select("pos", "p", "e", F.explode(F.transform(met, lambda h: h["b"])).alias("block"))
+    return in_blocks(pairs, tests).groupBy("pos").agg(F.collect_set("block").alias("blocks"))
+
+
 def prune(rows: DataFrame, tests: DataFrame, a: Column, z: Column, low: Column, high: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows that may be hit, all other rows, tests that may hit). Both sides have pos and block; a test reaches from ``a``
     to ``z`` and a row from ``low`` to ``high``.
@@ -102,10 +136,10 @@ def purge(train: DataFrame, test: DataFrame, purge_horizon: timedelta | None = N
     return purge_masks(train, test.withColumn("block", F.lit(0)), 1, h).where("mask = 0").drop("mask")
 
 
-def run_ends(test: DataFrame) -> DataFrame:
+def run_ends(test: DataFrame, parallel: bool | None = None) -> DataFrame:
     """(end): the last position of each run of consecutive test positions."""
-    w = Window.orderBy("pos")
-    return test.select("pos").distinct().withColumn("_next", F.lead("pos").over(w)).where("_next IS NULL OR _next > pos + 1").select(F.col("pos").alias("end"))
+    backwards = ordered_scan(test.select("pos").distinct(), [F.desc("pos")], {"_next": ("last", F.col("pos"), "before")}, parallel)
+    return backwards.where("_next IS NULL OR _next > pos + 1").select(F.col("pos").alias("end"))
 
 
 def apply_embargo(train: DataFrame, test: DataFrame, n_samples: int, embargo=None, embargo_observations=None, embargo_fraction=None) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.horizon import check_bars_per_year
 from foldwise.operators.folds import CombinatorialPurgedCV, block_of
+from foldwise.operators.scan import ordered_scan
 from foldwise.runtime import materialise
 
 
@@ -38,19 +39,29 @@ def reconstruct_paths(predictions: DataFrame, cv: CombinatorialPurgedCV, n_sampl
     return rows.join(F.broadcast(path_table(cv, predictions.sparkSession)), ["fold", "block"]).select("path", "pos", "prediction")  # as many rows as folds x tested blocks
 
 
-def fold_predictions(stages: DataFrame, fit: dict[str, Column], predict: Column) -> DataFrame:
-    """Train by aggregates over each fold's final rows and predict its test rows; null where a fold has none to train on."""
+def warn_empty(trained: set[int], cv: CombinatorialPurgedCV) -> None:
+    if empty := sorted(set(range(cv.get_n_splits())) - trained):
+        warnings.warn(f"no rows to train on in folds {', '.join(map(str, empty))}: their predictions are missing", stacklevel=3)
+
+
+def fold_predictions(stages: DataFrame, cv: CombinatorialPurgedCV, fit: dict[str, Column], predict: Column) -> DataFrame:
+    """Train by aggregates over each fold's final rows and predict its test rows; null, with a warning, where a fold has
+    none to train on."""
     model = stages.where("is_final").groupBy("fold").agg(*[c.alias(k) for k, c in fit.items()])
+    found = model.collect()  # one row a fold
+    warn_empty({r["fold"] for r in found}, cv)
+    model = stages.sparkSession.createDataFrame(found, model.schema)
     return stages.where("is_test").join(F.broadcast(model), "fold", "left").select("fold", "pos", predict.alias("prediction"))  # one row a fold
 
 
 def backtest_paths(samples: DataFrame, cv: CombinatorialPurgedCV, fit: dict[str, Column], predict: Column) -> DataFrame:
     stages = cv.stages(samples)
-    return reconstruct_paths(fold_predictions(stages, fit, predict), cv, samples.count())
+    return reconstruct_paths(fold_predictions(stages, cv, fit, predict), cv, samples.count())
 
 
 def backtest_paths_with(samples: DataFrame, cv: CombinatorialPurgedCV, model: Callable, columns: list[str]) -> DataFrame:
-    """For models that aggregates can't express: ``model(train_pdf, test_pdf) -> predictions``, one task a fold."""
+    """For models that aggregates can't express: ``model(train_pdf, test_pdf) -> predictions``, one task a fold. A fold
+    with nothing to train on predicts NaN, with a warning."""
 
     def run(pdf):
         import numpy as np
@@ -63,6 +74,7 @@ def backtest_paths_with(samples: DataFrame, cv: CombinatorialPurgedCV, model: Ca
         return pd.DataFrame({"fold": test.fold, "pos": test.pos, "prediction": out})
 
     stages = cv.stages(samples).where("is_final OR is_test").select("fold", "pos", "is_final", "is_test", *columns)
+    warn_empty({r["fold"] for r in stages.where("is_final").select("fold").distinct().collect()}, cv)
     return reconstruct_paths(stages.groupBy("fold").applyInPandas(run, "fold int, pos bigint, prediction double"), cv, samples.count())
 
 
@@ -83,7 +95,7 @@ def backtest_paths_ml(samples: DataFrame, cv: CombinatorialPurgedCV, estimator,
     return reconstruct_paths(out, cv, samples.count())
 
 
-def path_metrics(paths: DataFrame, value: str = "prediction", bars_per_year: float | None = None, metrics: dict[str, Column] | None = None) -> DataFrame:
+def path_metrics(paths: DataFrame, value: str = "prediction", bars_per_year: float | None = None, metrics: dict[str, Column] | None = None, parallel: bool | None = None) -> DataFrame:
     """(path, sharpe, calmar, max_drawdown, total_return) of (path, pos, value); null for NaN. Values that aren't finite
     are left out; under two left: all null. With ``metrics`` (aggregates), those instead."""
     if metrics is not None:
@@ -91,9 +103,8 @@ def path_metrics(paths: DataFrame, value: str = "prediction", bars_per_year: flo
     year = check_bars_per_year(bars_per_year)
     x = F.col(value).cast("double")
     good = paths.withColumn("_r", F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x))
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    curve = good.withColumn("_equity", F.sum(F.coalesce("_r", F.lit(0.0))).over(w))
-    curve = curve.withColumn("_peak", F.greatest(F.lit(0.0), F.max("_equity").over(w)))
+    curve = ordered_scan(good.select("path", "pos", "_r"), ["pos"], {"_equity": ("sum", F.coalesce("_r", F.lit(0.0)))}, parallel, ["path"])
+    curve = ordered_scan(curve, ["pos"], {"_high": ("max", F.col("_equity"))}, parallel, ["path"]).withColumn("_peak", F.greatest(F.lit(0.0), F.col("_high")))
     agg = curve.groupBy("path").agg(F.count("_r").alias("n"), F.avg("_r").alias("m"), F.stddev_samp("_r").alias("s"), F.sum("_r").alias("total"), F.max(F.col("_peak") - F.col("_equity")).alias("dd"))
     enough = F.col("n") >= 2
     sharpe = F.when(enough & (F.col("s") > 0), F.col("m") / F.col("s") * F.lit((year or 1.0) ** 0.5))

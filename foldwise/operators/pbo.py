@@ -6,6 +6,8 @@ are aggregated once to moments by configuration and signature, and the combinati
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -51,10 +53,7 @@ def scores(returns: DataFrame, n_splits: int = 16, samples: DataFrame | None = N
             raise ValueError("purging and embargoes need times")
         rows = returns.withColumn("block", block_of(F.col("pos"), n, n_splits)).withColumn("drop", F.lit(0).cast("bigint"))
     else:
-        masks, m = cv.masks(samples)
-        if m != n:
-            raise ValueError("times and returns differ in length")
-        rows = returns.join(masks.select("pos", "block", F.col("purge_mask").bitwiseOR(F.col("embargo_mask")).alias("drop")), "pos")
+        rows = returns.join(dropped_by(cv, samples, n), "pos")
     rows = rows.withColumn("r", F.col("r").cast("double"))
     mean = rows.groupBy("config").agg(F.avg("r").alias("mean"))
     z = F.col("r") - F.col("mean")
@@ -99,29 +98,47 @@ def probability_of_backtest_overfitting(returns: DataFrame, n_splits: int = 16,
     r = summary(logits(scores(returns, n_splits, samples, **settings))).first()
     if not r["n_combos"]:
         raise ValueError("purging leaves no rows in sample in any combination")
+    if dropped := math.comb(n_splits, n_splits // 2) - r["n_combos"]:
+        warnings.warn(f"{dropped} combinations have no rows left in sample and don't count", stacklevel=2)
     return PBOResult(r["pbo"], r["slope"], r["n_combos"])
 
 
-def scores_with(returns: DataFrame, metric: Callable, n_splits: int = 16) -> DataFrame:
-    """(combo, fmask, config, n_is, is_perf, oos_perf) by any ``metric(values) -> number``; one task a configuration."""
-    n = check_returns(returns, n_splits)
-    folds = CombinatoriallySymmetricCV(n_splits).folds()
+def dropped_by(cv: CombinatoriallySymmetricCV, samples: DataFrame, n: int) -> DataFrame:
+    """(pos, block, drop): the blocks whose tests purge or embargo each row."""
+    masks, m = cv.masks(samples)
+    if m != n:
+        raise ValueError("times and returns differ in length")
+    return masks.select("pos", "block", F.col("purge_mask").bitwiseOR(F.col("embargo_mask")).alias("drop"))
+
+
+def scores_with(returns: DataFrame, metric: Callable, n_splits: int = 16, samples: DataFrame | None = None, **settings) -> DataFrame:
+    """(combo, fmask, config, n_is, is_perf, oos_perf) by any ``metric(values) -> number``; one task a configuration.
+    Samples and settings purge and embargo as in ``scores``; combinations without rows in sample are left out."""
+    cv = CombinatoriallySymmetricCV(n_splits, **settings)
+    n, folds = check_returns(returns, n_splits), cv.folds()
+    if samples is None and settings:
+        raise ValueError("purging and embargoes need times")
+    drops = returns.select("pos").distinct().withColumn("drop", F.lit(0).cast("bigint")) if samples is None else dropped_by(cv, samples, n).drop("block")
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
-        r = pdf.sort_values("pos").r.to_numpy(float)
+        pdf = pdf.sort_values("pos")
+        r, drop = pdf.r.to_numpy(float), pdf["drop"].to_numpy("int64")
         sizes = [n // n_splits + (b < n % n_splits) for b in range(n_splits)]
         block = np.repeat(np.arange(n_splits), sizes)
         out = []
         for k, m in enumerate(folds):
             test = (m >> block & 1).astype(bool)
-            a, b = float(metric(r[~test])), float(metric(r[test]))
+            own = ~test & (drop & m == 0)
+            if not own.any():
+                continue
+            a, b = float(metric(r[own])), float(metric(r[test]))
             if not (np.isfinite(a) and np.isfinite(b)):
                 raise ValueError("a metric returns finite numbers")
-            out.append((k, m, pdf.config.iloc[0], int((~test).sum()), a, b))
+            out.append((k, m, pdf.config.iloc[0], int(own.sum()), a, b))
         return pd.DataFrame(out, columns=["combo", "fmask", "config", "n_is", "is_perf", "oos_perf"])
 
     kind = returns.schema["config"].dataType.simpleString()
-    return returns.groupBy("config").applyInPandas(run, f"combo int, fmask bigint, config {kind}, n_is bigint, is_perf double, oos_perf double")
+    return returns.join(drops, "pos").groupBy("config").applyInPandas(run, f"combo int, fmask bigint, config {kind}, n_is bigint, is_perf double, oos_perf double")

@@ -2,7 +2,8 @@
 
 Small inputs take one window. Larger ones are dealt by ranges of the order and written to the shared folder (range
 borders are sampled, so they must not be drawn twice); each range is scanned on its own, and the aggregate of all ranges
-before it, a table with one row a range, is added by a broadcast join.
+before it, a table with one row a range, is added by a broadcast join. Inside keys (``by``) the table has a row for each
+key and range, and is joined as any other.
 """
 
 from __future__ import annotations
@@ -12,34 +13,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from foldwise.runtime import materialise
 
 ONE_TASK_BYTES = 256 << 20
-_FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+_FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
 def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def ordered_scan(df: DataFrame, order: list[str | Column], outputs: dict[str, tuple[str, Column]], parallel: bool | None = None) -> DataFrame:
-    """``df`` with running aggregates (sum, max, min or count; this row included) in the given order."""
+def ordered_scan(df: DataFrame, order: list[str | Column], outputs: dict[str, tuple], parallel: bool | None = None, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``df`` with running aggregates (sum, max, min, count or last, the latest that isn't null) in the given order, each
+    by itself for each key of ``by``. An output is (how, column), this row included, or (how, column, "before")."""
     if parallel is None:
         parallel = estimated_bytes(df) > ONE_TASK_BYTES
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
+
+    def over(window):
+        frames = {"": window.rowsBetween(Window.unboundedPreceding, 0), "before": window.rowsBetween(Window.unboundedPreceding, -1)}
+        return {name: _FOLD[how](c).over(frames[rest[0] if rest else ""]) for name, (how, c, *rest) in outputs.items()}
+
     if not parallel:
-        w = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: _FOLD[how](c).over(w) for name, (how, c) in outputs.items()})
-    ranged = materialise(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranged")
-    own = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = ranged.groupBy("_range").agg(*[_FOLD[how](c).alias(name) for name, (how, c) in outputs.items()])
-    over = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
-    before = whole.select("_range", *[over[how](name).over(earlier).alias(f"_{name}_before") for name, (how, _) in outputs.items()])
-    out = ranged.withColumns({name: _FOLD[how](c).over(own) for name, (how, c) in outputs.items()}).join(F.broadcast(before), "_range")  # one row a range
-    for name, (how, _) in outputs.items():
-        b = F.col(f"_{name}_before")
-        joined = {"max": F.greatest, "min": F.least}.get(how)
-        value = joined(F.col(name), b) if joined else F.when(b.isNull(), F.col(name)).when(F.col(name).isNull(), b).otherwise(F.col(name) + b)
-        out = out.withColumn(name, value)
-    return out.drop("_range", *[f"_{name}_before" for name in outputs])
+        return df.withColumns(over((Window.partitionBy(*by) if by else Window).orderBy(*keys)))
+    ranged = materialise(df.repartitionByRange(*by, *keys).withColumn("_range", F.spark_partition_id()), "ranged")
+    own = Window.partitionBy(*by, "_range").orderBy(*keys)
+    numbered = ranged.withColumn("_nth", F.row_number().over(own)) if any(x[0] == "last" for x in outputs.values()) else ranged
+    fold = lambda how, c: F.max_by(c, F.when(c.isNotNull(), F.col("_nth"))) if how == "last" else _FOLD[how](c)
+    whole = numbered.groupBy(*by, "_range").agg(*[fold(how, c).alias(f"_{name}_in") for name, (how, c, *_) in outputs.items()])
+    earlier = (Window.partitionBy(*by) if by else Window).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda how, name: _FOLD["sum" if how == "count" else how](F.col(f"_{name}_in")).over(earlier)
+    names = [f"_by{i}" for i in range(len(by))]
+    before = whole.select(*[F.col(c).alias(k) for c, k in zip(by, names)], F.col("_range").alias("_at"), *[total(how, name).alias(f"_{name}_before") for name, (how, *_) in outputs.items()])
+    same = F.col("_range") == F.col("_at")
+    for c, k in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    out = ranged.withColumns(over(own)).join(before if by else F.broadcast(before), same)  # one row a range without keys
+    for name, (how, *_) in outputs.items():
+        x, b = F.col(name), F.col(f"_{name}_before")
+        joined = {"max": F.greatest, "min": F.least, "last": F.coalesce}.get(how)
+        out = out.withColumn(name, joined(x, b) if joined else F.when(b.isNull(), x).when(x.isNull(), b).otherwise(x + b))
+    return out.drop("_range", "_at", *names, *[f"_{name}_before" for name in outputs])
 
 
 def with_positions(df: DataFrame, order: list[str | Column], name: str = "pos", parallel: bool | None = None) -> DataFrame:

@@ -204,12 +204,6 @@ QUERIES["first_per_entity"] = (
     lambda spark, sf: ev(spark, sf).groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event")),
     f"SELECT user_id, event_id AS first_event FROM (SELECT *, row_number() OVER ({W}) AS k FROM events) WHERE k = 1",
 )
-QUERIES["staggered_times"] = (
-    lambda spark, sf: table(spark, sf, "lineitem").where("l_orderkey % 100 = 1").select("l_orderkey", "l_linenumber", (F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.dense_rank().over(Window.orderBy("l_orderkey")) - 1, F.col("l_linenumber"))).alias("at")),
-    "SELECT l_orderkey, l_linenumber, TIMESTAMP '2020-01-01' + to_days((dense_rank() OVER (ORDER BY l_orderkey) - 1)::INT) + to_hours(l_linenumber) AS at FROM lineitem WHERE l_orderkey % 100 = 1",
-)
-
-
 def _staggered(spark, sf):
     """All orders, a minute apart and their lines a second apart: times stay in range, and no task holds all rows."""
     x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
@@ -218,5 +212,9 @@ def _staggered(spark, sf):
     return x.join(rank, "l_orderkey").select("l_orderkey", "l_linenumber", at.alias("at"))
 
 
+QUERIES["staggered_times"] = (
+    _staggered,
+    "SELECT l_orderkey, l_linenumber, TIMESTAMP '2020-01-01' + to_minutes(dense_rank() OVER (ORDER BY l_orderkey) - 1) + to_seconds(l_linenumber) AS at FROM lineitem",
+)
 QUERIES["staggered_times_whole"] = (_staggered, None)
 QUERIES["cluster_bootstrap"] = (lambda spark, sf: X.cluster_bootstrap(ev(spark, sf), "user_id", "value", 200), None)

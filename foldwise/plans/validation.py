@@ -81,42 +81,42 @@ QUERIES["validate_times"] = (
 # Intervals --------------------------------------------------------------------------------------------------------
 
 
-def labels(spark, sf, every=997):
-    x = table(spark, sf, "lineitem").where(F.col("l_orderkey") % every < 3)
+def line_rows(spark, sf):
+    x = table(spark, sf, "lineitem")
     return x.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("p"), (F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("e"))
 
 
-def labels_sql(every=997):
-    return f"SELECT l_orderkey, l_linenumber, l_shipdate AS p, l_shipdate + to_days(CAST(l_quantity AS INT)) AS e FROM lineitem WHERE l_orderkey % {every} < 3"
+LINES = "SELECT l_orderkey, l_linenumber, l_shipdate AS p, l_shipdate + to_days(CAST(l_quantity AS INT)) AS e FROM lineitem"
 
 
 def merged_sql(less: str) -> str:
-    return f"""WITH i AS ({labels_sql()}), k AS (SELECT DISTINCT p AS start, e AS "end" FROM i WHERE p {less} e),
+    return f"""WITH i AS ({LINES}), k AS (SELECT DISTINCT p AS start, e AS "end" FROM i WHERE p {less} e),
 m AS (SELECT *, max("end") OVER (ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT min(start) AS start, max("end") AS "end" FROM g GROUP BY island"""
 
 
-QUERIES["merge_intervals_half_open"] = (lambda spark, sf: intervals.merge_intervals(labels(spark, sf), "p", "e"), merged_sql("<"))
-QUERIES["merge_intervals_closed"] = (lambda spark, sf: intervals.merge_intervals(labels(spark, sf), "p", "e", closed=True), merged_sql("<="))
+QUERIES["merge_intervals_half_open"] = (lambda spark, sf: intervals.merge_intervals(line_rows(spark, sf), "p", "e"), merged_sql("<"))
+QUERIES["merge_intervals_closed"] = (lambda spark, sf: intervals.merge_intervals(line_rows(spark, sf), "p", "e", closed=True), merged_sql("<="))
 
 
-def line_rows(spark, sf):
-    x = table(spark, sf, "lineitem")
-    return x.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("p"), (F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("e"))
+def urgent(spark, sf):
+    """The first day of each open urgent order: days that some lines' labels meet and others don't."""
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
+    return o.select(F.col("o_orderdate").alias("p"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("e"))
 
 
-LINES = "SELECT l_orderkey, l_linenumber, l_shipdate AS p, l_shipdate + to_days(CAST(l_quantity AS INT)) AS e FROM lineitem"
+URGENT = "SELECT DISTINCT o_orderdate AS p, o_orderdate + INTERVAL 1 DAY AS e FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
 QUERIES["interval_semi_join"] = (
-    lambda spark, sf: intervals.overlaps_any(line_rows(spark, sf), labels(spark, sf, 4999)).select("l_orderkey", "l_linenumber", "hit"),
-    f"WITH r AS ({LINES}), t AS ({labels_sql(4999)}) SELECT l_orderkey, l_linenumber, r.p < r.e AND EXISTS (SELECT 1 FROM t WHERE t.p < r.e AND t.e > r.p AND t.p < t.e) AS hit FROM r",
+    lambda spark, sf: intervals.overlaps_any(line_rows(spark, sf), urgent(spark, sf)).select("l_orderkey", "l_linenumber", "hit"),
+    f"WITH r AS ({LINES}), t AS ({URGENT}), d AS (SELECT DISTINCT p, e FROM r), h AS (SELECT p, e, EXISTS (SELECT 1 FROM t WHERE t.p < d.e AND t.e > d.p) AS x FROM d) SELECT l_orderkey, l_linenumber, r.p < r.e AND h.x AS hit FROM r JOIN h USING (p, e)",
 )
 QUERIES["point_in_interval"] = (
-    lambda spark, sf: intervals.in_any_closed(line_rows(spark, sf), labels(spark, sf, 4999)).select("l_orderkey", "l_linenumber", "hit"),
-    f"WITH r AS ({LINES}), t AS ({labels_sql(4999)}) SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM t WHERE t.p <= r.p AND t.e >= r.p) AS hit FROM r",
+    lambda spark, sf: intervals.in_any_closed(line_rows(spark, sf), urgent(spark, sf)).select("l_orderkey", "l_linenumber", "hit"),
+    f"WITH r AS ({LINES}), t AS ({URGENT}), d AS (SELECT DISTINCT p FROM r), h AS (SELECT p, EXISTS (SELECT 1 FROM t WHERE t.p <= d.p AND t.e >= d.p) AS x FROM d) SELECT l_orderkey, l_linenumber, h.x AS hit FROM r JOIN h USING (p)",
 )
 
-# Over all of lineitem. The SQL above tests pair by pair, too slow there, so these are tested against brute force.
+# Lines against all lines, tested against brute force.
 QUERIES["merge_intervals_half_open_whole"] = (lambda spark, sf: intervals.merge_intervals(line_rows(spark, sf), "p", "e"), None)
 QUERIES["merge_intervals_closed_whole"] = (lambda spark, sf: intervals.merge_intervals(line_rows(spark, sf), "p", "e", closed=True), None)
 QUERIES["interval_semi_join_whole"] = (lambda spark, sf: intervals.overlaps_any(line_rows(spark, sf), line_rows(spark, sf)).select("l_orderkey", "l_linenumber", "hit"), None)
@@ -199,6 +199,25 @@ QUERIES["walk_forward_sliding"] = (
     lambda spark, sf: WF_SMALL(train_size=800, window="sliding").split(events(spark, sf)).select(F.col("fold").cast("bigint").alias("fold"), "pos", "role"),
     f"WITH {WF}, kept AS (SELECT fold, pos, row_number() OVER (PARTITION BY fold ORDER BY pos DESC) AS k FROM st WHERE is_candidate AND NOT is_purged) SELECT CAST(fold AS BIGINT) AS fold, pos, 'train' AS role FROM kept WHERE k <= 800 UNION ALL SELECT fold, pos, 'test' FROM st WHERE is_test",
 )
+def wide_sql(blocks: str, k: int, hours: int, embargo: str, extra: str) -> str:
+    """Stages of many folds of one block each: pairs of rows and tested blocks instead of masks."""
+    return f"""WITH {S}, b AS ({blocks}), f AS (SELECT unnest(range({k})) AS fold),
+pm AS (SELECT DISTINCT r.pos, t.block AS fold FROM b r JOIN b t ON t.p - INTERVAL {hours} HOUR < r.e AND t.e + INTERVAL {hours} HOUR > r.p WHERE r.p < r.e AND t.block IS NOT NULL),
+em AS (SELECT DISTINCT r.pos, t.block AS fold FROM b r JOIN b t ON {embargo} WHERE t.block IS NOT NULL),
+x AS (SELECT f.fold, b.pos, coalesce(b.block = f.fold, false) AS is_test, pm.pos IS NOT NULL AS hit, em.pos IS NOT NULL AS near, {extra} AS fit
+  FROM b CROSS JOIN f LEFT JOIN pm ON pm.pos = b.pos AND pm.fold = f.fold LEFT JOIN em ON em.pos = b.pos AND em.fold = f.fold),
+st AS (SELECT *, NOT is_test AND fit AS is_candidate, NOT is_test AND fit AND hit AS is_purged, NOT is_test AND fit AND NOT hit AND near AS is_embargoed FROM x) SELECT {COUNTS} FROM st GROUP BY fold"""
+
+
+MANY = "SELECT s.*, n.n, CASE WHEN pos >= n - 200 * 4 THEN (pos - (n - 200 * 4)) // 4 END AS block FROM s, n"
+QUERIES["walk_forward_many"] = (
+    lambda spark, sf: counts(folds.WalkForwardSplit(200, 4, purge_horizon="1h", embargo_observations=3).stages(events(spark, sf))),
+    wide_sql(MANY, 200, 1, "r.pos > t.pos AND r.pos <= t.pos + 3", "b.pos < b.n - 800 + f.fold * 4"),
+)
+QUERIES["purged_kfold_many"] = (
+    lambda spark, sf: counts(folds.PurgedKFold(100, purge_horizon="1h", embargo="24h").stages(events(spark, sf))),
+    wide_sql(f"SELECT s.*, n.n, {block_sql(100)} AS block FROM s, n", 100, 1, DAY_AFTER, "true"),
+)
 GROUP_STAGES = stages_sql(5, masks(5), 0, blocks=f"SELECT s.*, n.n, {block_sql(5, 'gr.rank', 'gr.n')} AS block FROM s, n, gr WHERE gr.g = s.g", source=f"{S}, {GROUPS}")
 QUERIES["purged_group_kfold"] = folds_query(lambda: folds.PurgedGroupKFold(5), GROUP_STAGES)
 QUERIES["group_disjoint_check"] = (
@@ -241,7 +260,7 @@ min(p) FILTER (is_final) AS train_time_envelope_start, max(e) FILTER (is_final)
 def audited(cv):
     def q(spark, sf):
         a = audit.audit_splitter(cv(), events(spark, sf))
-        return a.withColumns({"fold": F.col("fold").cast("bigint"), "candidate_overlap_fraction": r6(F.col("candidate_overlap_fraction"))})
+        return a.withColumns({"fold": F.col("fold").cast("bigint"), "candidate_overlap_fraction": r6(F.col("candidate_overlap_fraction")), "final_overlap_fraction": r6(F.col("final_overlap_fraction"))})
 
     return q
 
@@ -252,6 +271,21 @@ QUERIES["audit_walk_forward"] = (
     audited(lambda: WF_SMALL(train_size=800, window="sliding")),
     audit_sql(WF.replace("AS is_embargoed FROM x)", "AS is_embargoed FROM x), sl AS (SELECT fold, pos AS kp, row_number() OVER (PARTITION BY fold ORDER BY pos DESC) AS k FROM st WHERE is_candidate AND NOT is_purged)"), "EXISTS (SELECT 1 FROM sl WHERE sl.fold = st.fold AND sl.kp = st.pos AND sl.k <= 800)"),
 )
+
+
+class Unpurged(folds.PurgedKFold):
+    """Leaks on purpose: it trains on what it has purged."""
+
+    def finalize(self, out):
+        return out.withColumn("is_final", F.col("is_candidate"))
+
+
+QUERIES["audit_leaky"] = (
+    audited(lambda: Unpurged(5, purge_horizon="1h")),
+    audit_sql(stages_sql(5, masks(5), 1), "is_candidate")
+    .replace("0::BIGINT AS rows_added_by_finalization", "sum((is_final AND is_purged)::INT)::BIGINT AS rows_added_by_finalization")
+    .replace("CAST(0 AS DOUBLE) AS final_overlap_fraction, true AS temporal_leakage_free", "round(coalesce(sum((is_final AND hit)::INT) / nullif(sum(is_final::INT), 0), 0), 6) AS final_overlap_fraction, NOT bool_or(is_final AND hit) AS temporal_leakage_free"),
+)
 QUERIES["audit_group_kfold"] = (audited(lambda: folds.PurgedGroupKFold(5)), audit_sql(GROUP_STAGES, groups=True))
 QUERIES["block_count"] = (
     lambda spark, sf: audit.block_count(events(spark, sf), "g"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,10 +15,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """A fresh path in the folder that the cluster names in ``spark.checkpoint.dir``. Unset, it is a temporary one if all
+    runs in this process, else an error: executors don't see each other's folders."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         base = _own_dirs.get(sc.applicationId)
         if base is None:
             base = _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="foldwise-")
