@@ -116,14 +116,14 @@ def holes():
 
 
 def _ffill(spark, sf):
-    e = ev(spark, sf).where("user_id % 10 <> 0 OR event_id % 4 = 0").withColumn("v", F.when(F.col("user_id") % 10 != 0, holes()))
+    e = ev(spark, sf).withColumn("v", F.when(F.col("user_id") % 10 != 0, holes()))
     median = e.agg(F.percentile("v", F.lit(0.5)).alias("median"))
     return e.withColumn("f", X.fill("v", BY, ORDER)).join(F.broadcast(median), F.lit(True)).select("event_id", r6(F.coalesce("f", "median")).alias("v"))  # one row
 
 
 QUERIES["ffill_median"] = (
     _ffill,
-    f"""WITH e AS (SELECT *, CASE WHEN user_id % 10 <> 0 AND event_id % 4 <> 0 THEN value END AS v FROM events WHERE user_id % 10 <> 0 OR event_id % 4 = 0), m AS (SELECT quantile_cont(v, 0.5) AS median FROM e)
+    f"""WITH e AS (SELECT *, CASE WHEN user_id % 10 <> 0 AND event_id % 4 <> 0 THEN value END AS v FROM events), m AS (SELECT quantile_cont(v, 0.5) AS median FROM e)
 SELECT event_id, round(coalesce(last_value(v IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), median), 6) + 0.0 AS v FROM e, m""",
 )
 QUERIES["interpolate"] = (
