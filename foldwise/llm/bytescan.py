@@ -57,6 +57,8 @@ def table_of(*bytes_: int) -> np.ndarray:
 SPACE = table_of(0x20, *range(0x09, 0x0E))
 #: Between words for matching: all of ASCII but letters and digits.
 NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+#: First bytes of the characters U+3000 to U+9FFF, of scripts without spaces.
+UNSPACED = table_of(*range(0xE3, 0xEA))
 #: A-Z to a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -70,8 +72,9 @@ class Slice:
         self.data, self.off, self.first = data, off, first
         self.n = len(off) - 1
 
-    def words(self, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end (byte positions) and text number of each word: a longest run without separators in one text."""
+    def words(self, separator: np.ndarray = SPACE, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end (byte positions) and text number of each word: a longest run without separators in one text. Each
+        character of three bytes whose first is in ``alone`` is a word of its own."""
         inside = ~separator[self.data]
         n = len(inside)
         if not n:
@@ -84,15 +87,29 @@ class Slice:
         begin[1:] &= ~inside[:-1] | edge[1:n]
         end = inside.copy()
         end[:-1] &= ~inside[1:] | edge[1:n]
+        if alone is not None and len(lead := np.flatnonzero(alone[self.data])):
+            begin[lead] = True
+            end[lead[lead > 0] - 1] = inside[lead[lead > 0] - 1]
+            end[lead + 2] = True
+            after = lead[lead + 3 < n] + 3
+            begin[after] |= inside[after] & ~edge[after]
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
         return s, e, np.searchsorted(self.off, s, "right") - 1
 
     def hashes(self, s: np.ndarray, e: np.ndarray, fold: np.ndarray = SAME, code: np.ndarray = _BYTE_CODE) -> np.ndarray:
-        """A 64-bit hash of each byte range, equal wherever the (folded) bytes are equal."""
-        p, inv = _powers(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([[np.uint64(0)], np.cumsum(code[fold][self.data] * p[:-1], dtype=np.uint64)])
-            return mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64) * _ODD)
+        """A 64-bit hash of each byte range, equal wherever the (folded) bytes are equal. Starts have to ascend."""
+        out = np.empty(len(s), np.uint64)
+        own, i = code[fold], 0
+        while i < len(s):  # starts ascend: a megabyte at a time, or one range
+            j = max(i + 1, int(np.searchsorted(s, s[i] + SLICE_BYTES)))
+            low, high = int(s[i]), int(e[i:j].max())
+            p, inv = _powers(high - low + 1)
+            with np.errstate(over="ignore"):
+                total = np.zeros(high - low + 1, np.uint64)
+                np.cumsum(own[self.data[low:high]] * p[:-1], dtype=np.uint64, out=total[1:])
+                out[i:j] = mix((total[e[i:j] - low] - total[s[i:j] - low]) * inv[s[i:j] - low] + (e[i:j] - s[i:j]).astype(np.uint64) * _ODD)
+            i = j
+        return out
 
     def text(self, i: int) -> bytes:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()

@@ -1,6 +1,6 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower case. All 3-word grams of a benchmark item are its seeds: an edited or
+Words are runs of letters and digits, lower case; in scripts without spaces, characters. All 3-word grams of a benchmark item are its seeds: an edited or
 partial copy is found by whichever of them it still has. A pair whose passage has too few of the item's words to reach
 the threshold, however they are ordered, is left out before the alignment; that drops nothing that could be reported.
 A passage that shares a seed with an item is aligned with it: local alignment of words, match 2, mismatch -1, gap -1,
@@ -10,8 +10,8 @@ score is at least ``THRESHOLD`` of the item's own (a copy scores 1, one with a f
 Benchmarks are taken in blocks of at most about ``BLOCK_BYTES`` of text, so what is sent to all tasks is bounded; each
 block meets all documents. Results don't depend on the blocks. Documents are looked at in one pass with no shuffle.
 
-Defined cases: null texts: empty. Items under ``MIN_WORDS`` words are too short to be evidence and match nothing. Null
-item_id: kept as such. Repeated items: each reported. Repeated documents: each reported. Empty tables: no rows.
+Defined cases: null texts: empty. Items under ``MIN_WORDS`` words count only whole and word for word; those under three
+words are no evidence and match nothing. Null item_id: kept as such. Repeated items: each reported, searched for once. Repeated documents: each reported. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -23,22 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.llm import bytescan
-from foldwise.runtime import ship, table
+from foldwise.runtime import materialise, ship, table
 
 GRAM, MIN_WORDS, THRESHOLD, BLOCK_BYTES = 3, 6, 0.4, 32 << 20
-#: Aligned together: at most so many pairs, and about so many cells of a row over all of them.
-PAIRS, CELLS = 256, 4 << 20
+#: Aligned together: at most so many pairs, and so many cells of a row over all of them (or one pair).
+PAIRS, CELLS = 256, 1 << 18
 MATCH, MISMATCH, GAP = 2, 1, 1
 SCHEMA = "doc_id bigint, item_id bigint, score double, start_char bigint, end_char bigint"
 
 
 class Items:
-    """Word hashes of a block of items, and its seeds: hash, item and word position."""
+    """Word hashes of a block of items, how often each is repeated, and its seeds: hash, item and word position."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        words, self.ids = [], ids
+    def __init__(self, ids: list, texts: list[str], copies: list[int] | None = None):
+        words, self.ids, self.copies = [], ids, copies or [1] * len(ids)
         for s in bytescan.slices(pa.array(texts, pa.string()), lower=True):
-            start, end, owner = s.words(bytescan.NOT_ALNUM)
+            start, end, owner = s.words(bytescan.NOT_ALNUM, bytescan.UNSPACED)
             h = s.hashes(start, end)
             cut = np.searchsorted(owner, np.arange(s.n + 1))
             words += [h[cut[i] : cut[i + 1]] for i in range(s.n)]
@@ -48,9 +48,8 @@ class Items:
         owner = np.repeat(np.arange(len(words)), lens)
         keys, at = bytescan.window_hashes(flat, owner, GRAM)
         item = owner[at]
-        good = lens[item] >= MIN_WORDS
-        order = np.argsort(keys[good], kind="stable")
-        self.seed, self.item, self.place = keys[good][order], item[good][order], (at - (np.cumsum(lens) - lens)[item])[good][order]
+        order = np.argsort(keys, kind="stable")
+        self.seed, self.item, self.place = keys[order], item[order], (at - (np.cumsum(lens) - lens)[item])[order]
         self.distinct, self.first = np.unique(self.seed, return_index=True)
         bits = max(10, int(64 * max(1, len(self.distinct)) - 1).bit_length())
         self.shift = np.uint64(64 - bits)
@@ -101,7 +100,7 @@ def within_reach(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def search(s: bytescan.Slice, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first and last character (exclusive)) of each contaminated text of the slice."""
-    start, end, owner = s.words(bytescan.NOT_ALNUM)
+    start, end, owner = s.words(bytescan.NOT_ALNUM, bytescan.UNSPACED)
     h = s.hashes(start, end)
     keys, at = bytescan.window_hashes(h, owner, GRAM)
     where, seed = items.find(keys)
@@ -115,6 +114,7 @@ def search(s: bytescan.Slice, items: Items, threshold: float) -> list[tuple[int,
     word, item = at[where[hit]], items.item[entry]
     text, diagonal = owner[word], word - items.place[entry]
     size = np.array([len(w) for w in items.words])
+    needed = np.where(size < MIN_WORDS, 1.0, threshold)
     slack = size // 4 + 4
     order = np.lexsort((diagonal, item, text))
     text, item, diagonal = text[order], item[order], diagonal[order]
@@ -132,16 +132,17 @@ def search(s: bytescan.Slice, items: Items, threshold: float) -> list[tuple[int,
     at = 0
     while at < len(by_size):
         group = by_size[at : at + PAIRS]
-        group = group[: max(1, int(np.searchsorted(np.cumsum(hi[group] - lo[group]), CELLS)))]
+        cells = np.maximum.accumulate(hi[group] - lo[group]) * np.arange(1, len(group) + 1)
+        group = group[: max(1, int(np.searchsorted(cells, CELLS, "right")))]
         at += len(group)
         reach = within_reach([items.words[m[k]] for k in group], [h[lo[k] : hi[k]] for k in group])
-        group = group[reach >= threshold * size[m[group]]]
+        group = group[reach >= needed[m[group]] * size[m[group]]]
         if not len(group):
             continue
         a, b = [items.words[m[k]] for k in group], [h[lo[k] : hi[k]] for k in group]
         best, end_a, end_b = align(a, b)
         share = best / (MATCH * size[m[group]])
-        good = np.flatnonzero(share >= threshold)
+        good = np.flatnonzero(share >= needed[m[group]])
         if not len(good):
             continue
         _, _, back = align([a[g][: end_a[g]][::-1] for g in good], [b[g][: end_b[g]][::-1] for g in good])
@@ -163,11 +164,12 @@ def blocks(benchmark: DataFrame, docs: DataFrame, block_bytes: int = BLOCK_BYTES
     spark = docs.sparkSession
     ship(spark)
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = materialise(rows.groupBy("item_id", "text").agg(F.count("*").alias("copies")), "items")  # each text of an id once
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()  # about block_bytes
-        yield spark.sparkContext.broadcast(Items([r[0] for r in own], [r[1] for r in own]))
+        yield spark.sparkContext.broadcast(Items([r[0] for r in own], [r[1] for r in own], [r[2] for r in own]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -179,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             for batch in batches:
                 ids = batch.column(0)
                 for s in bytescan.slices(batch.column(1), lower=True):
-                    rows = search(s, items, threshold)
+                    rows = [r for r in search(s, items, threshold) for _ in range(items.copies[r[1]])]
                     if rows:
                         i, m, score, a, b = zip(*rows)
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array([s.first + x for x in i])), pa.array([items.ids[x] for x in m], pa.int64()), pa.array(score), pa.array(a, pa.int64()), pa.array(b, pa.int64())], [c.split()[0] for c in SCHEMA.split(", ")])

@@ -288,3 +288,36 @@ def test_long_texts_and_several_texts_under_one_id(spark):
     kept = sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in neardup.keep(df).collect())
     assert kept == sorted([(0, len(long)), (0, 0), (1, len(long)), (3, len(rows[2][1])), (3, len(rows[3][1])), (3, 0), (4, 1), (4, 1)])
     assert neardup.keep(df).columns == df.columns
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    rnd = random.Random(59)
+    kanji = "".join(chr(0x4E00 + rnd.randrange(900)) for _ in range(30))
+    items = ["one two three four five", "alpha beta gamma", "no proof", kanji, kanji[:4]]
+    docs = ["so: One, two three FOUR five!", "one two three four and five", "x alpha beta gamma y", "alpha beta", "no proof", "前" + kanji[:20] + "後", kanji[:3] + "x", "a" + kanji[:4] + "b"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b).collect()}
+    assert set(got) == {(0, 0), (2, 1), (5, 3), (5, 4), (7, 4)}
+    r = got[5, 3]
+    assert docs[5][r["start_char"] : r["end_char"]] == kanji[:20] and r["score"] == pytest.approx(20 / 30)
+
+
+def test_repeated_items_and_very_long_documents(spark):
+    rnd = random.Random(61)
+    item = prose(rnd, 30)
+    docs = [prose(rnd, 150_000) + " " + item + " " + prose(rnd, 10), (item + " ") * 2000, prose(rnd, 50)]
+    d = spark.createDataFrame([*enumerate(docs), (None, item), (2, docs[2])], "doc_id bigint, text string").withColumns({"score": F.lit("x"), "item_id": F.lit(3), "copies": F.lit(0)})
+    b = spark.createDataFrame([(7, item), (7, item), (None, item), (8, item)], "item_id bigint, text string").withColumn("doc_id", F.lit("y"))
+    for block_bytes in (1 << 20, 50):
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["item_id"] or 0) for r in decontam.contaminated(d, b, block_bytes=block_bytes).collect())
+        assert got == sorted((i, k) for i in (-1, 0, 1) for k in (0, 7, 7, 8))
+    assert sorted(r["doc_id"] for r in decontam.keep(d, b).collect()) == [2, 2]
+
+
+def test_words_of_scripts_without_spaces():
+    texts = ["ab漢字cd", "漢", "漢字", "a漢 字b", "é漢é", "", "かな x"]
+    s = one_slice(texts)
+    start, end, owner = s.words(bytescan.NOT_ALNUM, bytescan.UNSPACED)
+    got = [(int(o), s.data[a:b].tobytes().decode()) for a, b, o in zip(start, end, owner)]
+    assert got == [(0, "ab"), (0, "漢"), (0, "字"), (0, "cd"), (1, "漢"), (2, "漢"), (2, "字"), (3, "a"), (3, "漢"), (3, "字"), (3, "b"), (4, "é"), (4, "漢"), (4, "é"), (6, "か"), (6, "な"), (6, "x")]
