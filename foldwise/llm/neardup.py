@@ -20,8 +20,9 @@ Its bands make candidates too, and a pair is screened by the signature that agre
    that pass the screen are compared with it, exactly and in place, and those that link join its component before the
    next one leads. So a bucket costs its members times the clusters in it, and no pair becomes a row. A pair is left
    to the first band that it shares; no pair of components that shares a band is left out. Buckets of more than
-   ``BLOCK`` times ``ALL_PAIRS`` members or ``BLOCK_BYTES`` of shingles are dealt into blocks, and each block meets
-   each other one in a group of its own. New links join the components.
+   ``BLOCK`` times ``ALL_PAIRS`` members or ``BLOCK_BYTES`` of shingles are dealt into blocks: those of the largest
+   component and those of all others; the latter meet all blocks, each in a group of its own. New links join the
+   components.
 
 Defined cases: null text: empty. Texts without words are alike only if equal byte for byte; under five words, all words
 are one shingle. Null doc_id: alone, with a null class and group. Rows of equal doc_id are one document: its groups are
@@ -179,7 +180,10 @@ def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in bytescan.slices(batch.column(1), lower=True):
             own, keys, weights, one, two = shingles(s)
             cut = np.searchsorted(own, np.arange(s.n + 1)).tolist()
-            parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:])] for x in (keys.astype("<u8"), weights.astype("<f8"))]
+            pairs = list(zip(cut, cut[1:]))
+            items = [keys[a:b].astype("<u8").tobytes() for a, b in pairs]
+            heavy = [weights[a:b].astype("<f8").tobytes() if (weights[a:b] > 1).any() else b"" for a, b in pairs]  # nothing: all are 1
+            parts = items, heavy
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(x, pa.binary()) for x in parts)], ["id", "f1", "f2", "items", "weights"])
 
 
@@ -199,7 +203,8 @@ def _rounds(key: int, t: pa.Table, threshold: float) -> tuple[list, list, list]:
 
     def of(i: int) -> tuple:
         if i not in sets:
-            sets[i] = np.frombuffer(items[i].as_py(), "<u8"), np.frombuffer(weights[i].as_py(), "<f8")
+            own, heavy = np.frombuffer(items[i].as_py(), "<u8"), np.frombuffer(weights[i].as_py(), "<f8")
+            sets[i] = own, heavy if len(heavy) else np.ones(len(own))
         return sets[i]
 
     out: tuple[list, list, list] = [], [], []
@@ -247,19 +252,33 @@ def _cells(threshold: float):
     return run
 
 
-def cross_links(open_: DataFrame, threshold: float, all_pairs: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(a, b, similarity) of links inside buckets (key, id, comp, sig, keys, items, weights) with several components."""
+def cross_links(mixed: DataFrame, payload: DataFrame, threshold: float, all_pairs: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b, similarity) of links inside buckets (key, id, comp) with several components. payload: id, sig, keys, items,
+    weights. Members of a bucket's largest component aren't compared with each other, so in a large bucket they are dealt
+    into blocks that meet the blocks of all others; those also meet each other."""
+    most = BLOCK * all_pairs
     size = F.octet_length("items") + F.octet_length("weights") + F.octet_length("sig") + 8 * F.size("keys")
-    sizes = open_.groupBy("key").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
-    n_blocks = F.greatest(F.ceil(F.col("n") / (BLOCK * all_pairs)), F.ceil(F.col("bytes") / block_bytes)).cast("bigint")
-    sizes = materialise(sizes.select("key", n_blocks.alias("n_blocks"), "bytes"), "sizes")
-    cells = -(-(sizes.where("n_blocks = 1").agg(F.sum("bytes")).first()[0] or 0) // max(1, block_bytes // 4)) + 1
-    rows = open_.join(sizes.select("key", "n_blocks"), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("n_blocks")))
-    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
+    own = payload.groupBy("id").agg(F.sum(size).alias("bytes"))
+    rows = materialise(mixed.join(own, "id").select("key", "id", "comp", "bytes"), "sized")
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    largest = F.max(F.struct("bytes", "n", "comp"))
+    buckets = by_comp.groupBy("key").agg(largest.alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / most), F.ceil(size / block_bytes), F.lit(1)).cast("bigint")
+    whole = (F.col("n") <= most) & (F.col("bytes") <= block_bytes)
+    others = blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
+    buckets = buckets.select("key", "bytes", whole.alias("whole"), F.col("top.comp").alias("top"), others.alias("m"), blocks(F.col("top.n"), F.col("top.bytes")).alias("d"))
+    buckets = materialise(buckets, "mixed_buckets")
+    cells = -(-(buckets.where("whole").agg(F.sum("bytes")).first()[0] or 0) // max(1, block_bytes // 4)) + 1
+    in_top, h = F.col("comp") == F.col("top"), F.xxhash64("id", "key")
+    zero = F.lit(0).cast("bigint")
+    block = F.when(F.col("whole"), zero).when(in_top, F.col("m") + F.pmod(h, F.col("d"))).otherwise(F.pmod(h, F.col("m")))
+    last = F.when(F.col("whole"), zero).when(in_top, F.col("m") - 1).otherwise(F.col("m") + F.col("d") - 1)
+    rows = rows.drop("bytes").join(buckets, "key").withColumn("block", block).withColumn("_with", F.explode(F.sequence(zero, last)))
     rows = rows.withColumn("low", F.least("block", "_with")).withColumn("high", F.greatest("block", "_with"))
-    cell = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.xxhash64("key", "low", "high"))
-    rows = rows.select(cell.alias("cell"), "key", "low", "high", "block", "id", "comp", "sig", "keys", "items", "weights")
-    return rows.groupBy("cell").applyInArrow(_cells(threshold), "a bigint, b bigint, similarity double")
+    cell = F.when(F.col("whole"), F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.xxhash64("key", "low", "high"))
+    full = rows.select(cell.alias("cell"), "key", "low", "high", "block", "id", "comp").join(payload, "id").where("array_contains(keys, key)")
+    full = full.select("cell", "key", "low", "high", "block", "id", "comp", "sig", "keys", "items", "weights")
+    return full.groupBy("cell").applyInArrow(_cells(threshold), "a bigint, b bigint, similarity double")
 
 
 def _verify(threshold: float):
@@ -343,8 +362,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, all_pairs: int = ALL_P
     mixed_rows = materialise(named.join(mixed, "key").select("key", "id", "comp").distinct(), "mixed")
     inside = texts.join(mixed_rows.select("id").distinct(), "id", "left_semi").select("id", "text")
     sets = materialise(inside.mapInArrow(bytescan.tidy(_packed_sets), "id bigint, f1 bigint, f2 bigint, items binary, weights binary").dropDuplicates(["id", "f1", "f2"]), "sets")
-    full = mixed_rows.join(signed.select("id", "f1", "f2", "sig", "keys"), "id").where("array_contains(keys, key)").join(sets, ["id", "f1", "f2"]).drop("f1", "f2")
-    more = cross_links(materialise(full, "open"), threshold, all_pairs)
+    payload = materialise(signed.select("id", "f1", "f2", "sig", "keys").join(sets, ["id", "f1", "f2"]).drop("f1", "f2"), "payload")
+    more = cross_links(mixed_rows, payload, threshold, all_pairs)
     links = materialise(links.unionByName(more).dropDuplicates(["a", "b"]), "links")
     comp = components(links)
 
