@@ -204,7 +204,7 @@ def _rounds(key: int, t: pa.Table, threshold: float) -> tuple[list, list, list]:
     def of(i: int) -> tuple:
         if i not in sets:
             own, heavy = np.frombuffer(items[i].as_py(), "<u8"), np.frombuffer(weights[i].as_py(), "<f8")
-            sets[i] = own, heavy if len(heavy) else np.ones(len(own))
+            sets[i] = own, heavy if len(heavy) else None
         return sets[i]
 
     out: tuple[list, list, list] = [], [], []
@@ -224,8 +224,8 @@ def _rounds(key: int, t: pa.Table, threshold: float) -> tuple[list, list, list]:
                 continue
             (ka, wa), (kb, wb) = of(i), of(j)
             alike = plain_jaccard(ka, kb)
-            if alike < threshold:
-                alike = max(alike, probability_jaccard(ka, wa, kb, wb))
+            if alike < threshold and not (wa is None and wb is None):  # with weights of 1 both similarities are one
+                alike = max(alike, probability_jaccard(ka, np.ones(len(ka)) if wa is None else wa, kb, np.ones(len(kb)) if wb is None else wb))
             if alike >= threshold:
                 comp[comp == comp[j]] = comp[i]
                 out[0].append(int(min(ids[i], ids[j])))
