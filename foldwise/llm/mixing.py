@@ -1,18 +1,27 @@
-"""Language-model scoring by online logistic context mixing.
-
-A text is its words (lower case for A-Z, cut at white space) and one end. A word is spelled byte by byte with a closing
-space, the end is one line feed, and each byte is eight binary decisions. Six hashed-context predictors give each bit a
-probability from counts of training text: the word so far with and without the language state, its last four bytes, and
-its last two, three and six with the state. A mixer adds their stretched probabilities with weights from a gate (how
-often the two deepest contexts were seen); a last stage refines the sum by what actually followed such sums after the
-same first bits of the byte. The product over all bits is the probability of the text.
-
-The language state of a token is the language that explains the tokens before it best, by byte pairs.
-
-Training is over all rows that are not held out. Words are counted by state in Spark; the counts' tables have a fixed
-number of slots, so they may be sent to all tasks, and are summed by parts. A word's own occurrence is taken off the
-counts while the mixer learns, so it learns what unseen words look like. The mixer learns online, in each task over its
-share of the words; tasks' weights are averaged by mass.
+"""Language-model scoring by online logistic context mixing, in two stages.
+
+Words. A text is its words (lower case for A-Z, cut at white space) and one end. A word is spelled byte by byte with a
+closing space, the end is one line feed, and each byte is eight binary decisions. Five hashed-context predictors give
+each bit a probability from counts of training text: the word so far with and without the language state, its last four
+bytes, and its last two and three with the state. A mixer adds their stretched probabilities with weights from a gate
+(how often the two deepest contexts were seen); a last stage refines the sum by what actually followed such sums after
+the same first bits of the byte. The language state of a token is the language that explains the tokens before it best,
+by byte pairs.
+
+Texts. Along each text one more decision a token crosses words: is it the one that followed when the word before stood
+in this text last? Its predictors count, online, how often that came true after this word in this text, and after
+matches of this length in this text, and how often in training, by length of the match, language state and length of
+the word. A gated mixer adds them; its weights start from training and are updated along the text, every ``STRIDE``
+decisions. Hits cost that decision; else the word stage pays, over the words that are left. So repeated phrases and
+passages become cheap, and the order of words counts.
+
+Training is over all rows that are not held out. Words are counted by state in Spark. Counts of short contexts (up to
+``DEEP`` bytes of a word, whose number saturates) go to tables of fixed size, sent to all tasks; they are summed by
+parts, of which tasks send what isn't 0. Counts of longer beginnings of words grow with the corpus: words are dealt into
+shards by their first ``DEEP`` bytes, so that all words that share such a context are in one shard, and a shard counts
+them in a table sized by its own words. A word's own occurrence is taken off the counts while the mixer learns, so it
+learns what unseen words look like. The mixers learn online, in each task over its share; tasks' weights are averaged by
+mass.
 
 For scoring, the words of all documents are spelled once for each state that they stand in. Documents are dealt into
 chunks by a hash of their id; the distinct words of a chunk meet the global counts and log probabilities in a join, and
@@ -20,7 +29,8 @@ come back to the chunk. No table of words is broadcast or collected.
 
 Defined cases: null or empty text: one end. Null doc_id: its crc32 is that of the empty text (training). Repeated rows:
 each is counted and scored. No training tokens: counts are 0 and every bit has probability 1/2; base_score is null. An
-empty table stays empty.
+empty table stays empty. Where a word that was foreseen has no probability in the state at hand, the others don't share
+it out, so a score is never too high.
 """
 
 from __future__ import annotations
@@ -30,21 +40,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.llm import bytescan
 from foldwise.runtime import materialise, ship, table
 
-SLOT_BITS, PARTS, LANGUAGES, GATE, STEPS = 20, 256, 7, 6, 33
-#: The predictors: how many bytes of the word before, and whether the language state counts.
-PREDICTORS = ((24, False), (2, True), (4, False), (24, True), (3, True), (6, True))
+PARTS, LANGUAGES, GATE, STEPS = 256, 7, 6, 33
+#: The predictors: how many bytes of the word before, whether the language state counts, and bits of slots.
+PREDICTORS = ((24, False, 20), (2, True, 19), (4, False, 22), (24, True, 21), (3, True, 21))
+DEEP = 4  #: Longer beginnings of words are counted in their shard.
+FIRST = np.concatenate([[0], np.cumsum([1 << b for _, _, b in PREDICTORS])]).tolist()
 GATED = (2, 3)  # the predictors whose counts make the gate
-SLOTS = len(PREDICTORS) << SLOT_BITS
+SLOTS = FIRST[-1]
 INPUTS = len(PREDICTORS) + 1  # and a constant
 CLOSE, END = 0x20, 0x0A
-CHUNK_BYTES = 8 << 20
-SUM_TASKS = 16
+CHUNK_BYTES, TEXT_BYTES = 8 << 20, 2 << 20
+SHARD_WORDS = 2048
+#: Rows that the language states are fitted on, at most.
+LABELLED = 20_000
+#: Of the stage over texts: longest match, states and word lengths of its table, gates, inputs, decisions between updates.
+LONGEST, STATES, WIDTHS, RECALL_GATES, RECALL_INPUTS, STRIDE = 3, 16, 8, 12, 4, 32
+RECALL_CELLS = LONGEST * STATES * WIDTHS
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +94,7 @@ def _responses() -> tuple[np.ndarray, np.ndarray]:
         total = a + b
         x.append(np.log((b + 0.05) / (a + 0.05)) * (total / (total + 0.4)))
         seen.append(np.minimum(np.log2(total + 1).astype(np.int64) // 2 + (total > 0), GATE - 1))
-    return np.concatenate(x).astype(np.float32), np.concatenate(seen).astype(np.int64)
+    return np.concatenate(x).astype(np.float32), np.concatenate(seen).astype(np.int8)
 
 
 RESPONSE, SEEN = _responses()
@@ -94,7 +113,9 @@ class Words:
         """The distinct words of a slice (the end first), the number of each token's word, and its text; ends included."""
         start, end, owner = s.words()
         h = s.hashes(start, end, bytescan.LOWER)
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        back, u = pd.factorize(h)  # in order of first appearance
+        first = np.zeros(len(u), np.int64)
+        first[back[::-1]] = np.arange(len(h))[::-1]
         size = (end - start)[first]
         at = np.repeat(start[first] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         data = np.concatenate([np.array([END], np.uint8), bytescan.LOWER[s.data[at]]])
@@ -102,6 +123,21 @@ class Words:
         order = np.argsort(texts, kind="stable")  # the end comes after the words
         return Words(np.concatenate([[np.uint64(0)], u]), data, np.concatenate([[1], size])), tokens[order], texts[order]
 
+    def some(self, which: np.ndarray) -> "Words":
+        first, size = (np.cumsum(self.size) - self.size)[which], self.size[which]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return Words(self.hash[which], self.data[at], size)
+
+    def runs(self, symbols: int) -> Iterator[tuple[int, int, "Words"]]:
+        """Runs of words of about so many symbols, or one word: from, to and the words."""
+        stop = np.cumsum(self.size)
+        a = 0
+        while a < len(self.size):
+            before = stop[a] - self.size[a]
+            b = max(a + 1, int(np.searchsorted(stop + np.arange(1, len(stop) + 1) - a, before + symbols, "right")))
+            yield a, b, Words(self.hash[a:b], self.data[before : stop[b - 1]], self.size[a:b])
+            a = b
+
     def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All symbols, the number of each one's word, and where that word starts."""
         stop = np.cumsum(self.size)
@@ -115,25 +151,49 @@ class Words:
         return symbols, word, begin[word]
 
 
-def contexts(symbols: np.ndarray, begin: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
+def contexts(symbols: np.ndarray, begin: np.ndarray, state: np.ndarray, some: np.ndarray | None = None, which=range(len(PREDICTORS))) -> list[np.ndarray]:
+    """For each of those predictors the hash of its context of each symbol, or of some."""
     s = bytescan.Slice(symbols, np.array([0, len(symbols)]), 0)
-    at = np.arange(len(symbols))
+    at = np.arange(len(symbols)) if some is None else some
+    begin = begin if some is None else begin[some]
     out = []
     with np.errstate(over="ignore"):
         other = state.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        for k, (length, stated) in enumerate(PREDICTORS):
+        for k in which:
+            length, stated, _ = PREDICTORS[k]
             h = s.hashes(np.maximum(begin, at - length), at)
             out.append(bytescan.mix((bytescan.mix(h) ^ other if stated else h) + np.uint64(k + 1) * _STEP))
     return out
 
 
-def bits_of(symbols: np.ndarray, ctx: list[np.ndarray]):
+class Deep:
+    """The symbols of a shard that come after ``DEEP`` bytes or more of their word, and where predictors that see all of
+    the word find their counts: in a part of the shard's own after the shared slots, with four slots a bit (one in shards of
+    very many symbols)."""
+
+    def __init__(self, symbols: np.ndarray, begin: np.ndarray, room: int):
+        self.where = np.flatnonzero(np.arange(len(symbols)) - begin >= DEEP)
+        self.bits = max(16, int((32 if room < 50_000 else 8) * max(1, room) - 1).bit_length())
+        whole = [i for i, (length, _, _) in enumerate(PREDICTORS) if length > DEEP]
+        self.first = {i: SLOTS + (k << self.bits) for k, i in enumerate(whole)}
+        self.size = len(whole) << self.bits
+
+
+def slot_hash(context: np.ndarray, before: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (context + before * np.uint64(0xC2B2AE3D27D4EB4F)) * _STEP
+
+
+def bits_of(symbols: np.ndarray, ctx: list[np.ndarray], deep: Deep | None = None):
     """For each of the eight bits: its number, the bit, what came before it in the byte, and the slots of the predictors."""
     before = np.ones(len(symbols), np.uint64)
     for k in range(8):
         bit = (symbols >> (7 - k)) & 1
-        with np.errstate(over="ignore"):
-            slots = [((c + before * np.uint64(0xC2B2AE3D27D4EB4F)) * _STEP >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + (i << SLOT_BITS) for i, c in enumerate(ctx)]
+        at = [slot_hash(c, before) for c in ctx]
+        slots = [(x >> np.uint64(64 - PREDICTORS[i][2])).astype(np.int32) + np.int32(FIRST[i]) for i, x in enumerate(at)]
+        if deep is not None:
+            for i, first in deep.first.items():
+                slots[i][deep.where] = (at[i][deep.where] >> np.uint64(64 - deep.bits)).astype(np.int32) + np.int32(first)
         yield k, bit, before, slots
         before = before * np.uint64(2) + bit.astype(np.uint64)
 
@@ -141,21 +201,21 @@ def bits_of(symbols: np.ndarray, ctx: list[np.ndarray]):
 def inputs(counts: np.ndarray, slots: list[np.ndarray], bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Stretched predictions (INPUTS, n) and the gate. With ``bit``, one occurrence of it is taken off."""
     x = np.full((INPUTS, len(slots[0])), 0.3, np.float32)
-    gate = np.zeros(len(slots[0]), np.int64)
-    row = 0 if bit is None else (1 + bit.astype(np.int64)) * 65536
+    gate = np.zeros(len(slots[0]), np.int8)
+    row = 0 if bit is None else (1 + bit.astype(np.int32)) * 65536
     for i, slot in enumerate(slots):
-        at = counts[slot] + row
-        x[i] = RESPONSE[at]
+        at = counts.take(slot).astype(np.int32) + row
+        RESPONSE.take(at, out=x[i], mode="clip")
         if i in GATED:
-            gate = gate * GATE + SEEN[at]
-    return x, gate
+            gate = gate * GATE + SEEN.take(at)
+    return x, gate.astype(np.int64)
 
 
 def dot(weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
     out = np.zeros(x.shape[1], np.float32)
     for i in range(INPUTS):
-        out += weights[:, i].astype(np.float32)[gate] * x[i]
-    return np.clip(out, -11.5, 11.5)
+        out += weights[:, i].astype(np.float32).take(gate) * x[i]
+    return np.clip(out, -11.5, 11.5, out=out)
 
 
 @dataclass
@@ -166,36 +226,88 @@ class Model:
     pairs: np.ndarray  # (65536, languages) log likelihoods
     weights: np.ndarray  # (GATE * GATE, INPUTS)
     refine: np.ndarray  # (256, STEPS) probabilities
+    recall: np.ndarray | None = None  # (RECALL_CELLS, 2) counts of the stage over texts
+    recall_weights: np.ndarray | None = None  # (RECALL_GATES, RECALL_INPUTS)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return dot(self.weights, x, gate)
 
     def refined(self, mixed: np.ndarray, before: np.ndarray) -> np.ndarray:
         place = np.clip((mixed + 8) * np.float32((STEPS - 1) / 16), 0, np.float32(STEPS - 1.001))
-        low = place.astype(np.int64)
+        low = place.astype(np.int32)
         part = place - low
-        at = before.astype(np.int64) * STEPS + low
+        at = before.astype(np.int32) * STEPS + low
         flat = self.refine.ravel()
-        return np.clip((squash(mixed) + flat[at] * (1 - part) + flat[at + 1] * part) / 2, 1e-6, 1 - 1e-6)
+        return np.clip((squash(mixed) + flat.take(at) * (1 - part) + flat.take(at + 1) * part) / 2, 1e-6, 1 - 1e-6)
 
-    def log10(self, words: Words, state: np.ndarray) -> np.ndarray:
-        """Log probability of each word, in its language state."""
+    def log10(self, words: Words, state: np.ndarray, c: np.ndarray | None = None, table: Table | None = None) -> np.ndarray:
+        """Log probability of each word of a shard, in its language state; c: how often each is in training."""
         out = np.zeros(len(words.size))
-        per = max(1, int(200_000 / max(1.0, float(words.size.mean()) + 1))) if len(words.size) else 1
-        stop = np.cumsum(words.size)
-        for a in range(0, len(words.size), per):  # bounded arrays
-            b = min(a + per, len(words.size))
-            own = Words(words.hash[a:b], words.data[stop[a] - words.size[a] : stop[b - 1]], words.size[a:b])
+        table = Table(self.counts) if table is None else table
+        slots_of = table.of(words, state, np.zeros(len(out)) if c is None else c)
+        room = deep_symbols(words)
+        for a, b, own in words.runs(20_000):  # small arrays
             symbols, word, begin = own.spelled()
             total = np.zeros(len(symbols))
-            for _, bit, before, slots in bits_of(symbols, contexts(symbols, begin, state[a:b][word])):
-                x, gate = inputs(self.counts, slots, None)
+            for _, bit, before, slots in bits_of(symbols, contexts(symbols, begin, state[a:b][word]), Deep(symbols, begin, room)):
+                x, gate = inputs(slots_of, slots, None)
                 p = self.refined(self.mixed(x, gate), before)
                 total += np.log10(np.where(bit, p, 1 - p))
             out[a:b] = np.bincount(word, total, b - a)
         return out
 
 
+def deep_symbols(words: Words) -> int:
+    return int(np.maximum(words.size + 1 - DEEP, 0).sum())
+
+
+class Table:
+    """The packed counts of the shared slots, and after them those of one shard after the other."""
+
+    def __init__(self, counts: np.ndarray):
+        self.slots = np.concatenate([counts, np.zeros(1 << 16, np.uint16)])
+
+    def of(self, words: Words, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """With the counts of that shard."""
+        room = deep_symbols(words)
+        own = np.zeros(0, np.float32)
+        for a, b, part in words.runs(20_000):
+            symbols, word, begin = part.spelled()
+            deep = Deep(symbols, begin, room)
+            if not len(own):
+                own = np.zeros(2 * deep.size, np.float32)
+            mass = c[a:b][word][deep.where].astype(np.float32)
+            some, mass = deep.where[mass > 0], mass[mass > 0]
+            if not len(some):
+                continue
+            ctx = contexts(symbols, begin, state[a:b][word][some], some, deep.first)
+            before = np.ones(len(some), np.uint64)
+            for k in range(8):
+                bit = (symbols[some] >> (7 - k)) & 1
+                for h, first in zip(ctx, deep.first.values()):
+                    slot = (slot_hash(h, before) >> np.uint64(64 - deep.bits)).astype(np.int64) + (first - SLOTS)
+                    np.add.at(own, 2 * slot + bit, mass)
+                before = before * np.uint64(2) + bit.astype(np.uint64)
+        n = len(own) // 2
+        if len(self.slots) < SLOTS + n:
+            self.slots = np.concatenate([self.slots[:SLOTS], np.zeros(n, np.uint16)])
+        here = self.slots[SLOTS : SLOTS + n]
+        here[:] = 0
+        seen = np.flatnonzero(own.view(np.uint64))  # slots with either count
+        here[seen] = packed(own.reshape(-1, 2)[seen])
+        return self.slots
+
+
+def pairs_of(tokens: np.ndarray, state: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of word and state as numbers, ascending, and the place of each token's pair among them."""
+    key = tokens * STATES + state
+    there = np.bincount(key, minlength=n_words * STATES) > 0
+    both = np.flatnonzero(there)
+    place = np.zeros(len(there), np.int32)
+    place[both] = np.arange(len(both))
+    return both, place[key]
+
+
 def pair_index(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Byte pairs of the words (each opened by a 0), and their words."""
     first = np.cumsum(words.size) - words.size
@@ -206,16 +318,25 @@ def pair_index(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def states(words: Words, tokens: np.ndarray, texts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Of each token: 0 for the first of a text, else 1 + the language that explains those before it best."""
-    index, owner = pair_index(words)
+    index, _ = pair_index(words)
+    first = np.cumsum(words.size) - words.size
     new = np.ones(len(texts), bool)
     new[1:] = texts[1:] != texts[:-1]
     lead = np.flatnonzero(new)
-    seen = []
+    size = np.diff(np.append(lead, len(texts)))
+    out, best = np.ones(len(texts), np.int64), None
     for k in range(pairs.shape[1]):
-        own = np.bincount(owner, pairs[index, k], len(words.size))[tokens]
-        total = np.concatenate([[0], np.cumsum(own)])[:-1]
-        seen.append(total - np.repeat(total[lead], np.diff(np.append(lead, len(texts)))))
-    return np.where(new, 0, 1 + np.argmax(seen, 0)) if seen else np.where(new, 0, 1)
+        own = np.add.reduceat(np.ascontiguousarray(pairs[:, k]).take(index), first).take(tokens)
+        total = np.concatenate([[0.0], np.cumsum(own)[:-1]])
+        total -= np.repeat(total[lead], size)
+        if best is None:
+            best = total
+        else:
+            more = total > best
+            out[more] = k + 1
+            np.maximum(best, total, out=best)
+    out[lead] = 0
+    return out
 
 
 def held_out(doc_id) -> "F.Column":
@@ -246,8 +367,14 @@ def _emit_pairs(total: dict) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(c[some].astype(np.int64))], ["lang", "pair", "c"])
 
 
-def learn_languages(train: DataFrame, languages: int = LANGUAGES) -> np.ndarray:
-    """(65536, k) log likelihoods of byte pairs for the k largest languages."""
+def learn_languages(train: DataFrame, languages: int, most: int = LABELLED) -> np.ndarray:
+    """(65536, k) log likelihoods of byte pairs for the k largest languages (15 at most), from all rows with a language,
+    or about ``most`` of them, picked by a hash of the text."""
+    languages = min(languages, STATES - 1)
+    labelled = train.where("lang IS NOT NULL")
+    n = labelled.count()
+    if n > most:  # that share of all hashes
+        train = labelled.where(F.shiftrightunsigned(F.xxhash64("text", F.lit(29)), 1) < F.lit(int(most / n * (1 << 63))))
     counts = materialise(train.select("lang", "text").mapInArrow(_pair_counts, "lang string, pair int, c bigint").groupBy("lang", "pair").agg(F.sum("c").alias("c")), "pairs")
     largest = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
     out = np.full((65536, len(largest)), 0.1)
@@ -256,21 +383,144 @@ def learn_languages(train: DataFrame, languages: int = LANGUAGES) -> np.ndarray:
     return np.log(out / out.sum(0))
 
 
+WORDS_OUT = "h bigint, word binary, state int, c bigint, recall binary"
+
+
 def _state_words(sent):
+    """(held_out, text) -> the words of each slice by state; and, at the end of a task, what its texts taught the second
+    stage, in ``recall`` of a row without a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = sent.value
+        cells, w, mass = np.zeros((RECALL_CELLS, 2)), np.full((RECALL_GATES, RECALL_INPUTS), 0.4), np.zeros(RECALL_GATES)
         for batch in batches:
             train = ~batch.column(0).to_numpy(zero_copy_only=False)
-            for s in bytescan.slices(batch.column(1), 4 << 20):
+            for s in bytescan.slices(batch.column(1), TEXT_BYTES):
                 words, tokens, texts = Words.of(s)
-                both, back = np.unique(tokens * 16 + states(words, tokens, texts, pairs), return_inverse=True)
+                state = states(words, tokens, texts, pairs)
+                both, back = pairs_of(tokens, state, len(words.size))
                 n = np.bincount(back, train[s.first + texts], len(both))
-                word = both // 16
+                word = both // STATES
                 stop = np.concatenate([[0], np.cumsum(words.size)])
                 column = pa.BinaryArray.from_buffers(pa.binary(), len(words.size), [None, pa.py_buffer(stop.astype(np.int32)), pa.py_buffer(words.data)]).take(pa.array(word))
-                yield pa.RecordBatch.from_arrays([pa.array(words.hash[word].view(np.int64)), column, pa.array((both % 16).astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "word", "state", "c"])
+                none = pa.nulls(len(both), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(words.hash[word].view(np.int64)), column, pa.array((both % STATES).astype(np.int32)), pa.array(n.astype(np.int64)), none], [c.split()[0] for c in WORDS_OUT.split(", ")])
+                r = Recall.of(tokens, texts, state, words.size)
+                kept = train[s.first + texts[r.at]]
+                if kept.any():
+                    r.learn(kept, cells, w, mass)
+        body = np.concatenate([cells.ravel(), (w * mass[:, None]).ravel(), mass]).tobytes()
+        if mass.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([b""], pa.binary()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([body], pa.binary())], [c.split()[0] for c in WORDS_OUT.split(", ")])
 
-    return run
+    return bytescan.tidy(run)
+
+
+def _since(group_first: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of x before each place, from the start of its group on."""
+    total = np.concatenate([[0.0], np.cumsum(x)])[:-1]
+    return total - total[group_first]
+
+
+@dataclass
+class Recall:
+    """The decisions of the second stage over some texts, in order."""
+
+    at: np.ndarray  # the token that each is about
+    foreseen: np.ndarray  # where the foreseen token stood
+    hit: np.ndarray
+    text: np.ndarray
+    gate: np.ndarray
+    cell: np.ndarray
+    own: np.ndarray  # (2, 2, n): no and yes so far in this text, after this word and after matches of this length
+
+    @staticmethod
+    def of(tokens: np.ndarray, texts: np.ndarray, state: np.ndarray, size: np.ndarray) -> "Recall":
+        n = len(tokens)
+        t = np.arange(1, n)
+        t = t[texts[1:] == texts[:-1]]
+        key = texts[t].astype(np.int64) * len(size) + tokens[t - 1]
+        order = np.argsort(key, kind="stable")
+        t, key = t[order], key[order]
+        again = np.zeros(len(t), bool)
+        again[1:] = key[1:] == key[:-1]
+        place = np.flatnonzero(again)
+        at, seen = t[place], t[place - 1] if len(place) else t[:0]
+        hit = tokens[at] == tokens[seen]
+        # So far after this word: places of one key stand together, in order of time.
+        lead = np.ones(len(place), bool)
+        lead[1:] = np.diff(place) > 1
+        first = np.maximum.accumulate(np.where(lead, np.arange(len(place)), 0))
+        by_word = np.array([_since(first, ~hit), _since(first, hit)])
+        order = np.argsort(at, kind="stable")
+        at, seen, hit, by_word = at[order], seen[order], hit[order], by_word[:, order]
+        length = np.ones(len(at), np.int64)
+        for back in range(2, LONGEST + 1):
+            a, b = np.maximum(at - back, 0), np.maximum(seen - back, 0)
+            length += (length == back - 1) & (seen >= back) & (texts[b] == texts[at]) & (tokens[a] == tokens[b])
+        text = texts[at]
+        by_length = np.zeros((2, len(at)))
+        for k in range(1, LONGEST + 1):
+            some = np.flatnonzero(length == k)
+            new = np.ones(len(some), bool)
+            new[1:] = text[some[1:]] != text[some[:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))
+            by_length[0, some], by_length[1, some] = _since(first, ~hit[some]), _since(first, hit[some])
+        gate = (length - 1) * 4 + np.minimum(by_word.sum(0), 3).astype(np.int64)
+        width = np.minimum(size[tokens[seen]], WIDTHS) - 1
+        return Recall(at, seen, hit, text, gate, ((length - 1) * STATES + state[at]) * WIDTHS + width, np.array([by_word, by_length]))
+
+    def inputs(self, cells: np.ndarray) -> np.ndarray:
+        """(n, RECALL_INPUTS) stretched predictions."""
+        x = np.full((len(self.at), RECALL_INPUTS), 0.3)
+        for k, (no, yes) in enumerate((self.own[0], self.own[1], cells[self.cell].T)):
+            x[:, k] = np.log((yes + 0.2) / (no + 0.8)) * ((no + yes) / (no + yes + 0.5))
+        return x
+
+    def learn(self, which: np.ndarray, cells: np.ndarray, w: np.ndarray, mass: np.ndarray) -> None:
+        """Count and learn online, in runs of decisions, from those that count."""
+        x, which = None, np.flatnonzero(which)
+        for a in range(0, len(which), 4096):
+            some = which[a : a + 4096]
+            part = Recall(self.at[some], self.foreseen[some], self.hit[some], self.text[some], self.gate[some], self.cell[some], self.own[:, :, some])
+            x = part.inputs(cells)
+            error = part.hit - squash(np.clip((x * w[part.gate]).sum(1), -8, 8))
+            here = np.bincount(part.gate, minlength=RECALL_GATES)
+            seen = here > 0
+            for i in range(RECALL_INPUTS):
+                w[seen, i] += 0.2 * np.bincount(part.gate, error * x[:, i], RECALL_GATES)[seen] / here[seen]
+            mass += here
+            cells += np.bincount(part.cell * 2 + part.hit, minlength=2 * RECALL_CELLS).reshape(-1, 2)
+
+    def probabilities(self, cells: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Of a hit, for each decision; weights go on from ``start`` along each text, in steps of ``STRIDE`` decisions."""
+        n = len(self.at)
+        out = np.zeros(n)
+        if not n:
+            return out
+        x = self.inputs(cells)
+        new = np.ones(n, bool)
+        new[1:] = self.text[1:] != self.text[:-1]
+        number = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, n))
+        w = np.repeat(start[None], len(first), 0).reshape(-1, RECALL_INPUTS)  # a row for each text and gate
+        by_size = np.argsort(-size, kind="stable")
+        nth = np.empty(len(first), np.int64)
+        nth[by_size] = np.arange(len(first))
+        for a in range(0, int(size.max()), STRIDE):
+            live = by_size[: int(np.searchsorted(-size[by_size], -a, "left"))]  # texts with more than a decisions
+            count = np.minimum(size[live] - a, STRIDE)
+            rows = np.repeat(first[live] + a - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            cell = number[rows] * RECALL_GATES + self.gate[rows]
+            p = squash(np.clip((x[rows] * w[cell]).sum(1), -8, 8))
+            out[rows] = p
+            error = self.hit[rows] - p
+            local, back = np.unique(cell, return_inverse=True)
+            here = np.bincount(back)
+            step = np.stack([np.bincount(back, error * x[rows, i]) for i in range(RECALL_INPUTS)], 1)
+            w[local] += 0.3 * step / (here[:, None] + 8)
+        return out
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch], size: int):
@@ -285,109 +535,180 @@ def _vocabulary(batches: Iterator[pa.RecordBatch], size: int):
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, counts): the counts of shared slots that aren't 0, as differences of places and values, compressed."""
+    import zstandard
+
     counts = np.zeros(2 * SLOTS, np.float32)
     for words, state, c in _vocabulary(batches, 20_000):
-        symbols, word, begin = words.spelled()
-        mass = c[word].astype(np.float32)
-        for _, bit, _, slots in bits_of(symbols, contexts(symbols, begin, state[word])):
-            for slot in slots:
-                np.add.at(counts, 2 * slot + bit, mass)
+        for a, b, own in words.runs(20_000):
+            symbols, word, begin = own.spelled()
+            mass = c[a:b][word].astype(np.float32)
+            shallow = np.flatnonzero(np.arange(len(symbols)) - begin < DEEP)
+            for _, bit, _, slots in bits_of(symbols, contexts(symbols, begin, state[a:b][word])):
+                for (length, _, _), slot in zip(PREDICTORS, slots):
+                    if length > DEEP:
+                        np.add.at(counts, 2 * slot[shallow].astype(np.int64) + bit[shallow], mass[shallow])
+                    else:
+                        np.add.at(counts, 2 * slot.astype(np.int64) + bit, mass)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for part, x in enumerate(counts.reshape(PARTS, -1)):
-        if x.any():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "counts"])
+        some = np.flatnonzero(x)
+        if len(some):
+            body = squeeze(np.diff(some, prepend=0).astype("<u4").tobytes() + x[some].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([body], pa.binary())], ["part", "counts"])
 
 
 def _sum_parts(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in t["counts"])
-    return pa.table({"part": t["part"].slice(0, 1), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    import zstandard
 
+    total = np.zeros(2 * SLOTS // PARTS)
+    for x in t["counts"]:
+        body = zstandard.ZstdDecompressor().decompress(x.as_py())
+        n = len(body) // 8
+        total[np.cumsum(np.frombuffer(body, "<u4", n))] += np.frombuffer(body, "<f4", n, 4 * n)
+    return pa.table({"part": t["part"].slice(0, 1), "counts": pa.array([packed(total.reshape(-1, 2)).tobytes()], pa.binary())})
 
-def _learn_weights(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
-        w, mass = np.full((GATE * GATE, INPUTS), 0.3), np.zeros(GATE * GATE)
-        for words, state, c in _vocabulary(batches, 2_000):
-            symbols, word, begin = words.spelled()
-            own = c[word]
-            for _, bit, _, slots in bits_of(symbols, contexts(symbols, begin, state[word])):
-                x, gate = inputs(counts, slots, bit)
-                error = own * (bit - squash(dot(w, x, gate)))
-                here = np.bincount(gate, own, GATE * GATE)
-                some = here > 0
-                rate = 0.3 / np.sqrt(1 + mass[some] / 50_000) + 0.02
-                for i in range(INPUTS):
-                    w[some, i] += rate * np.bincount(gate, error * x[i], GATE * GATE)[some] / here[some]
-                mass += here
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(GATE * GATE), INPUTS), pa.int32()), pa.array(np.tile(np.arange(INPUTS), GATE * GATE), pa.int32()), pa.array((w * mass[:, None]).ravel()), pa.array(np.repeat(mass, INPUTS))], ["gate", "input", "w", "mass"])
 
-    return run
+def _shards(batches: Iterator[pa.RecordBatch]):
+    """The whole shards of (shard, h, word, state, c) in order of shard: words, states and counts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if held and a < b and held[-1].column(0)[0].as_py() != int(shard[a]):
+                yield from _one(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from _one(held)
 
 
-def _refinements(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        n = np.zeros((256 * STEPS, 2))
-        for words, state, c in _vocabulary(batches, 20_000):
-            symbols, word, begin = words.spelled()
-            for _, bit, before, slots in bits_of(symbols, contexts(symbols, begin, state[word])):
-                x, gate = inputs(model.counts, slots, bit)
-                place = np.clip((model.mixed(x, gate) + 8) * (STEPS - 1) / 16 + 0.5, 0, STEPS - 1).astype(np.int64)
-                n += np.bincount((before.astype(np.int64) * STEPS + place) * 2 + bit, c[word], 512 * STEPS).reshape(-1, 2)
-        some = np.flatnonzero(n.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some, 0]), pa.array(n[some, 1])], ["cell", "n0", "n1"])
+def _one(held: list[pa.RecordBatch]):
+    whole = pa.Table.from_batches(held).combine_chunks().select([1, 2, 3, 4])
+    for batch in whole.to_batches():  # one
+        yield from _vocabulary(iter([batch]), batch.num_rows)
+
+
+LEARNED = "kind int, at int, a double, b double"
 
-    return run
 
+def _learn(sent):
+    """The mixer's weights and the refinement, online over the words of the task's shards, as sums to be added up. Words
+    of the first shard are seen twice, at first without refinement."""
 
-def learn(rows: DataFrame) -> tuple[Model, DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(sent.value)
+        w, mass = np.full((GATE * GATE, INPUTS), 0.3), np.zeros(GATE * GATE)
+        n = np.zeros((256 * STEPS, 2))
+
+        def seen(words, state, c, refining):
+            counted, room = table.of(words, state, c), deep_symbols(words)
+            for a, b, own in words.runs(20_000):
+                symbols, word, begin = own.spelled()
+                trained = c[a:b][word]
+                if not trained.any():
+                    continue
+                for _, bit, before, slots in bits_of(symbols, contexts(symbols, begin, state[a:b][word]), Deep(symbols, begin, room)):
+                    x, gate = inputs(counted, slots, bit)
+                    mixed = dot(w, x, gate)
+                    error = trained * (bit - squash(mixed))
+                    here = np.bincount(gate, trained, GATE * GATE)
+                    some = here > 0
+                    rate = 0.3 / np.sqrt(1 + mass[some] / 50_000) + 0.02
+                    for i in range(INPUTS):
+                        w[some, i] += rate * np.bincount(gate, error * x[i], GATE * GATE)[some] / here[some]
+                    mass[:] += here
+                    if refining:
+                        place = np.clip((mixed + 8) * (STEPS - 1) / 16 + 0.5, 0, STEPS - 1).astype(np.int64)
+                        n[:] += np.bincount((before.astype(np.int64) * STEPS + place) * 2 + bit, trained, 512 * STEPS).reshape(-1, 2)
+
+        for k, (words, state, c) in enumerate(_shards(batches)):
+            some = np.flatnonzero(c > 0)
+            if len(some):
+                words, state, c = words.some(some), state[some], c[some]
+                if not mass.any():
+                    seen(words, state, c, False)
+                seen(words, state, c, True)
+        cells = np.flatnonzero(n.sum(1))
+        kind = np.repeat([0, 1], [w.size, len(cells)]).astype(np.int32)
+        at = np.concatenate([np.arange(w.size), cells]).astype(np.int32)
+        one, two = np.concatenate([(w * mass[:, None]).ravel(), n[cells, 0]]), np.concatenate([np.repeat(mass, INPUTS), n[cells, 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(one), pa.array(two)], ["kind", "at", "a", "b"])
+
+    return bytescan.tidy(run)
+
+
+def in_shards(every_word: DataFrame) -> DataFrame:
+    """Each shard in one task, one after the other, about 64 a task at most."""
+    shards = (every_word.agg(F.max("shard")).first()[0] or 0) + 1
+    tasks = min(shards, max(int(every_word.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // 64)))
+    return every_word.repartition(tasks, "shard").sortWithinPartitions("shard", "h", "state")
+
+
+def learn(rows: DataFrame, languages: int = LANGUAGES, shard_words: int = SHARD_WORDS) -> tuple[Model, DataFrame]:
     """The model of those rows of (held_out, text, lang) that are not held out, and the words of all rows by state with
-    their counts in training (h, word, state, c)."""
+    their counts in training (shard, h, word, state, c)."""
     spark = rows.sparkSession
     sc = spark.sparkContext
-    pairs = learn_languages(rows.where("NOT held_out"))
-    found = rows.select("held_out", "text").mapInArrow(_state_words(sc.broadcast(pairs)), "h bigint, word binary, state int, c bigint")
-    every_word = materialise(found.groupBy("h", "word", "state").agg(F.sum("c").alias("c")), "words")
-    vocabulary = every_word.where("c > 0")
-    parts = vocabulary.coalesce(SUM_TASKS).mapInArrow(_slot_counts, "part int, counts binary").groupBy("part").applyInArrow(_sum_parts, "part int, counts binary")
-    counts = np.zeros((PARTS, 2 * SLOTS // PARTS), np.float32)
+    pairs = learn_languages(rows.where("NOT held_out"), languages)
+    found = materialise(rows.select("held_out", "text").mapInArrow(_state_words(sc.broadcast(pairs)), WORDS_OUT).groupBy("h", "word", "state", "recall").agg(F.sum("c").alias("c")), "found")
+    taught = np.zeros(2 * RECALL_CELLS + RECALL_GATES * RECALL_INPUTS + RECALL_GATES)
+    for r in found.where("state < 0").select("recall").toLocalIterator():  # a row of fixed size for each task, added up one by one
+        taught += np.frombuffer(r["recall"], np.float64)
+    recall, summed, mass = np.split(taught, [2 * RECALL_CELLS, len(taught) - RECALL_GATES])
+    recall_weights = np.where(mass[:, None] > 0, summed.reshape(RECALL_GATES, -1) / np.maximum(mass, 1)[:, None], 0.4)
+    words = found.where("state >= 0").drop("recall")
+    shards = max(1, -(-words.count() // shard_words))
+    dealt = words.withColumn("shard", F.pmod(F.xxhash64(F.substring("word", 1, DEEP)), F.lit(shards))).select("shard", "h", "word", "state", "c")
+    every_word = dealt
+    vocabulary = every_word.where("c > 0").select("h", "word", "state", "c")
+    parts = vocabulary.mapInArrow(bytescan.tidy(_slot_counts), "part int, counts binary").groupBy("part").applyInArrow(_sum_parts, "part int, counts binary")
+    counts = np.zeros((PARTS, SLOTS // PARTS), np.uint16)
     for r in parts.toLocalIterator():  # PARTS rows of fixed size
-        counts[r["part"]] = np.frombuffer(r["counts"], np.float32)
-    counts = packed(counts.reshape(SLOTS, 2))
-    weights, total = np.full((GATE * GATE, INPUTS), 0.3), np.zeros(GATE * GATE)
-    learned = vocabulary.mapInArrow(_learn_weights(sc.broadcast(counts)), "gate int, input int, w double, mass double").groupBy("gate", "input").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
-    for r in learned.collect():
-        if r["mass"] > 0:
-            weights[r["gate"], r["input"]] = r["w"] / r["mass"]
-    centres = squash((np.arange(STEPS) * 16 / (STEPS - 1)) - 8)
-    model = Model(counts, pairs, weights, np.tile(centres, (256, 1)))
-    n = np.zeros((256 * STEPS, 2))
-    for r in vocabulary.mapInArrow(_refinements(sc.broadcast(model)), "cell int, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
-        n[r["cell"]] = r["n0"], r["n1"]
-    prior = 20.0
-    model.refine = (n[:, 1].reshape(256, STEPS) + prior * centres) / (n.sum(1).reshape(256, STEPS) + prior)
-    return model, every_word
+        counts[r["part"]] = np.frombuffer(r["counts"], np.uint16)
+    counts = counts.ravel()
+    weights, n = np.full((GATE * GATE, INPUTS), 0.3), np.zeros((256 * STEPS, 2))
+    learned = in_shards(every_word).mapInArrow(_learn(sc.broadcast(counts)), LEARNED).groupBy("kind", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    for r in learned.collect():  # of fixed size
+        if r["kind"]:
+            n[r["at"]] = r["a"], r["b"]
+        elif r["b"] > 0:
+            weights.flat[r["at"]] = r["a"] / r["b"]
+    centres, prior = squash((np.arange(STEPS) * 16 / (STEPS - 1)) - 8), 20.0
+    refine = (n[:, 1].reshape(256, STEPS) + prior * centres) / (n.sum(1).reshape(256, STEPS) + prior)
+    return Model(counts, pairs, weights, refine, recall.reshape(-1, 2), recall_weights), every_word
 
 
 def _score_words(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, state, _ in _vocabulary(batches, 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)), pa.array(state.astype(np.int32)), pa.array(sent.value.log10(words, state))], ["h", "state", "logp"])
+        table = Table(sent.value.counts)
+        for words, state, c in _shards(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)), pa.array(state.astype(np.int32)), pa.array(sent.value.log10(words, state, c, table))], ["h", "state", "logp"])
 
-    return run
+    return bytescan.tidy(run)
 
 
 def _chunk_words(sent):
-    """(chunk, ..., text) -> distinct (chunk, word hash, state) of each slice."""
+    """(chunk, ..., text) -> (chunk, word hash, state), each at least once; a table of what was seen last keeps most
+    repetitions back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 20, np.uint64)
         for batch in batches:
             chunks = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for s in bytescan.slices(batch.column(3), 8 << 20):
+            for s in bytescan.slices(batch.column(3), TEXT_BYTES):
                 words, tokens, texts = Words.of(s)
                 own, local = np.unique(chunks[s.first : s.first + s.n], return_inverse=True)
-                key = np.unique((local[texts] * len(words.size) + tokens) * 16 + states(words, tokens, texts, sent.value))
-                word, chunk = key // 16 % len(words.size), own[key // 16 // len(words.size)]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(words.hash[word].view(np.int64)), pa.array((key % 16).astype(np.int32))], ["chunk", "h", "state"])
+                key = np.unique((local[texts] * len(words.size) + tokens) * STATES + states(words, tokens, texts, sent.value))
+                word, chunk, state = key // STATES % len(words.size), own[key // STATES // len(words.size)], key % STATES
+                with np.errstate(over="ignore"):
+                    mark = _key(words.hash[word] + bytescan.mix(chunk.astype(np.uint64) + np.uint64(1)), state)
+                slot = (mark >> np.uint64(44)).astype(np.int64)
+                new = seen[slot] != mark
+                seen[slot[new]] = mark[new]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[new]), pa.array(words.hash[word[new]].view(np.int64)), pa.array(state[new].astype(np.int32))], ["chunk", "h", "state"])
 
     return run
 
@@ -402,19 +723,21 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base
 
 def _score_chunk(sent, n_train: int, n_words: int):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        model = sent.value
         key = _key(known["h"].to_numpy().view(np.uint64), known["state"].to_numpy())
         order = np.argsort(key)
         key, c, logp = key[order], known["c"].to_numpy()[order], known["logp"].to_numpy()[order]
         rows = {k: [] for k in ("n_tokens", "n_known", "base", "score", "n_bytes")}
-        for s in bytescan.slices(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string()), 8 << 20):
+        for s in bytescan.slices(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string()), TEXT_BYTES):
             words, tokens, texts = Words.of(s)
-            both, back = np.unique(tokens * 16 + states(words, tokens, texts, sent.value), return_inverse=True)
-            at = np.searchsorted(key, _key(words.hash[both // 16], both % 16))  # every one is there
+            state = states(words, tokens, texts, model.pairs)
+            both, back = pairs_of(tokens, state, len(words.size))
+            at = np.searchsorted(key, _key(words.hash[both // STATES], both % STATES))  # every one is there
             base = np.log10(c[at] + 1.0) - math.log10(n_train + n_words + 1)
             rows["n_tokens"].append(np.bincount(texts, minlength=s.n))
             rows["n_known"].append(np.bincount(texts, (c[at] > 0)[back], s.n).astype(np.int64))
             rows["base"].append(np.bincount(texts, base[back], s.n))
-            rows["score"].append(np.bincount(texts, logp[at][back], s.n))
+            rows["score"].append(np.bincount(texts, along(model, words, tokens, texts, state, both, logp[at], logp[at][back]), s.n))
             rows["n_bytes"].append(np.diff(s.off))
         got = {k: pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if k in ("base", "score") else pa.int64()) for k, v in rows.items()}
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], **got})
@@ -422,24 +745,44 @@ def _score_chunk(sent, n_train: int, n_words: int):
     return run
 
 
-def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def along(model: Model, words: Words, tokens: np.ndarray, texts: np.ndarray, state: np.ndarray, both: np.ndarray, by_pair: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Log probability of each token in its text: ``logp`` by the word stage, and the decisions of the second one.
+    ``by_pair``: log probabilities of the pairs of word and state in ``both``, ascending."""
+    r = Recall.of(tokens, texts, state, words.size)
+    if not len(r.at):
+        return logp
+    out = logp.copy()
+    p = r.probabilities(model.recall, model.recall_weights)
+    # Without the foreseen word the others share its probability, where that is known.
+    pair = tokens[r.foreseen] * STATES + state[r.at]
+    where = np.minimum(np.searchsorted(both, pair), len(both) - 1)
+    left = np.where(both[where] == pair, 1 - 10.0 ** np.minimum(by_pair[where], -1e-6), 1.0)
+    out[r.at] = np.where(r.hit, np.log10(p), np.log10(1 - p) + logp[r.at] - np.log10(left))
+    return out
+
+
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, languages: int = LANGUAGES) -> DataFrame:
     """Train on the rows of (doc_id, text, lang) that are not held out, and score all."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang").withColumn("held_out", held_out(F.col("doc_id")))
-    model, every_word = learn(rows)
+    model, every_word = learn(rows, languages)
+    sent = spark.sparkContext.broadcast(model)
+    # Each word is spelled once for each state, wherever it stands.
+    scored = in_shards(every_word).mapInArrow(_score_words(sent), "h bigint, state int, logp double")
     counts = every_word.groupBy("h").agg(F.sum("c").alias("c"))
-    total = counts.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    known = materialise(scored.join(counts, "h"), "scored")
+    total = known.where("c > 0").select("h", "c").distinct().agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, n_words = total["n"] or 0, total["v"]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", "held_out", "text").repartition(chunks, "chunk")
-    # Each word is spelled once for each state, wherever it stands.
-    scored = every_word.mapInArrow(_score_words(spark.sparkContext.broadcast(model)), "h bigint, state int, logp double")
-    known = materialise(scored.join(counts, "h"), "scored")
-    sent = spark.sparkContext.broadcast(model.pairs)
-    used = dealt.mapInArrow(_chunk_words(sent), "chunk bigint, h bigint, state int").distinct().join(known, ["h", "state"])
-    out = dealt.groupBy("chunk").cogroup(used.select("chunk", "h", "state", "c", "logp").groupBy("chunk")).applyInArrow(_score_chunk(sent, n_train, n_words), SCORED)
+    # Rows of one id are dealt by their text, too.
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "held_out", "text").repartition(chunks, "chunk")
+    light = spark.sparkContext.broadcast(model.pairs)
+    used = dealt.mapInArrow(bytescan.tidy(_chunk_words(light)), "chunk bigint, h bigint, state int").join(known, ["h", "state"])
+    scoring = Model(np.zeros(0, np.uint16), model.pairs, model.weights, model.refine, model.recall, model.recall_weights)
+    run = _score_chunk(spark.sparkContext.broadcast(scoring), n_train, n_words)
+    out = dealt.groupBy("chunk").cogroup(used.select("chunk", "h", "state", "c", "logp").groupBy("chunk")).applyInArrow(run, SCORED)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), F.when(F.lit(n_train > 0), F.col("base")).alias("base_score"), "score",
         (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
