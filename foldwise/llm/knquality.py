@@ -1,9 +1,12 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of 4-grams of characters, trained on trusted text.
 
-Trusted are labelled rows of quality 1; the fit uses at most ``max_trusted`` of them, picked by a hash of the id. Four
-fifths train the model, one fifth sets the thresholds: per language a quantile of their perplexity, with a margin. A
-document is kept if its perplexity is at most its language's threshold. For this, ``PRIOR`` characters of its language's
-median are added to each text, so that a few characters alone say little.
+Trusted are all labelled rows of quality 1. Four fifths of them, by a hash of the id, train the model, the other fifth
+sets the thresholds: per language a quantile of their perplexity, with a margin. A document is kept if its perplexity is
+at most its language's threshold. For this, ``PRIOR`` characters of its language's median are added to each text, so that
+a few characters alone say little.
+
+Trusted texts meet their ids in a shuffled join, whatever their number. A bitmap of hashed ids of fixed size goes to all
+tasks first, so that nearly only trusted texts are moved. Quantiles are exact, read from running counts in order.
 
 All counting is relational. Grams of trusted text are counted per slice and summed by key; continuation counts,
 contexts' totals and the counts of counts for the discounts follow by grouping. The distinct grams of the whole corpus
@@ -27,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foldwise.llm import bytescan
+from foldwise.operators.scan import ordered_scan
 from foldwise.runtime import materialise, ship, table
 
 N = 4
 START, STOP = 2, 3
-MAX_TRUSTED, QUANTILE, MARGIN, MIN_LANGUAGE, PRIOR = 20_000, 0.99, 0.25, 40, 30
+QUANTILE, MARGIN, MIN_LANGUAGE, PRIOR = 0.99, 0.25, 40, 30
 BROADCAST_GRAMS, CHUNK_BYTES = 4_000_000, 8 << 20
+#: Words of 64 bits in the bitmap of ids.
+ID_WORDS = 1 << 20
 
 _CLASS = np.arange(1 << 16, dtype=np.uint16)
 _CLASS[[*range(0x21), 0x7F, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]] = 0x20
@@ -222,33 +228,53 @@ def score(docs: DataFrame, scores: DataFrame, broadcast_grams: int = BROADCAST_G
     return docs.withColumn("_row", row).join(summed, "_row").drop("_row")
 
 
-def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """(_id, train): at most ``most`` ids of trusted rows, the smallest by hash; four fifths train."""
-    h = F.xxhash64("_id", F.lit(17))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(_id, train): the ids of all trusted rows; four fifths train."""
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
-    return ids.orderBy(h, "_id").limit(most).select("_id", (F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)) != 0).alias("train"))
+    return ids.select("_id", (F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)) != 0).alias("train"))
+
+
+def trusted_rows(docs: DataFrame, ids: DataFrame, words: int = ID_WORDS) -> DataFrame:
+    """(_id, text, lang, train) of all rows of ``docs`` whose id is among ``ids``."""
+    bit = F.pmod(F.xxhash64("_id", F.lit(31)), F.lit(64 * words))
+    placed = lambda df: df.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+    bitmap = placed(ids).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")).alias("_set"))  # at most ``words`` rows
+    rows = placed(docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text", "lang")).join(F.broadcast(bitmap), "_word")
+    likely = rows.where("shiftrightunsigned(_set, CAST(_bit & 63 AS INT)) & 1 = 1").select("_id", "text", "lang")
+    return likely.join(ids.hint("shuffle_hash"), "_id")
+
+
+def quantiles(values: DataFrame, by: list[str], column: str, shares: dict[str, float], parallel: bool | None = None) -> DataFrame:
+    """One row for each key of ``by`` (not null): its rows n and the exact quantiles of ``column``, interpolated between neighbours."""
+    ties = values.groupBy(*by, column).agg(F.count("*").alias("_m"))
+    seen = ordered_scan(ties, [column], {"_upto": ("sum", F.col("_m"))}, parallel, by)
+    seen = seen.join(values.groupBy(*by).agg(F.count("*").alias("n")), by)
+    at = {name: (F.col("n") - 1) * F.lit(share) for name, share in shares.items()}
+    value = lambda i: F.max(F.when((F.col("_upto") - F.col("_m") <= i) & (i < F.col("_upto")), F.col(column)))
+    ends = [value(f(x)).alias(f"_{name}_{k}") for name, x in at.items() for k, f in enumerate((F.floor, F.ceil))]
+    out = seen.groupBy(*by, "n").agg(*ends)
+    return out.select(*by, "n", *[(F.col(f"_{name}_0") + (F.col(f"_{name}_1") - F.col(f"_{name}_0")) * (x - F.floor(x))).alias(name) for name, x in at.items()])
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, quantile: float = QUANTILE, margin: float = MARGIN, min_language: int = MIN_LANGUAGE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, min_language: int = MIN_LANGUAGE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """docs (doc_id, text, lang and any others) with _n, _perplexity, _threshold and _kept."""
     spark = docs.sparkSession
     ship(spark)
-    ids = materialise(trusted_ids(labels, max_trusted), "trusted")
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text", "lang").join(F.broadcast(ids), "_id")  # bounded by max_trusted
-    sample = materialise(sample, "sample")
-    counts = materialise(sample.where("train").select("text").mapInArrow(_counts, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")), "counts")
+    ids = materialise(trusted_ids(labels), "trusted")
+    trusted = materialise(trusted_rows(docs, ids), "trusted_rows")
+    counts = materialise(trusted.where("train").select("text").mapInArrow(_counts, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")), "counts")
     corpus = docs.select("text").mapInArrow(_distinct, "g bigint").distinct()
     scores = materialise(gram_scores(corpus, counts), "scores")
-    held = score(sample.where("NOT train").drop("train"), scores, broadcast_grams).select("lang", (-F.col("_logp") / F.col("_n")).alias("bits"))
-    # One row a language; the margin widens the distance from the median to the quantile.
-    stats = lambda *by: held.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("bits", F.lit(0.5)).alias("mid"), F.percentile("bits", F.lit(quantile)).alias("high"))
+    held = materialise(score(trusted.where("NOT train").drop("train"), scores, broadcast_grams).select("lang", (-F.col("_logp") / F.col("_n")).alias("bits")), "held")
+    # One row a language and one for all; the margin widens the distance from the median to the quantile.
+    both = held.where("lang IS NOT NULL").select(F.lit(False).alias("whole"), "lang", "bits").union(held.select(F.lit(True), F.lit(""), "bits"))
     limit = F.col("high") + F.lit(margin) * (F.col("high") - F.col("mid")) + F.lit(0.1)
-    by_language = stats("lang").where(F.col("n") >= min_language).where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.col("mid").alias("_own_mid"), limit.alias("_own"))
-    by_language = materialise(by_language, "thresholds")
-    overall = stats().select("mid", limit.alias("high")).first()
+    limits = materialise(quantiles(both, ["whole", "lang"], "bits", {"mid": 0.5, "high": quantile}).withColumn("limit", limit), "thresholds")
+    by_language = limits.where(~F.col("whole") & (F.col("n") >= min_language)).select(F.col("lang").alias("_lang"), F.col("mid").alias("_own_mid"), F.col("limit").alias("_own"))
+    overall = limits.where("whole").first() or {"limit": None, "mid": None}
     out = score(docs, scores, broadcast_grams)
     out = out.join(by_language, out["lang"] == by_language["_lang"], "left")
-    most, mid = F.coalesce("_own", F.lit(overall["high"]).cast("double")), F.coalesce("_own_mid", F.lit(overall["mid"]).cast("double"))
+    most, mid = F.coalesce("_own", F.lit(overall["limit"]).cast("double")), F.coalesce("_own_mid", F.lit(overall["mid"]).cast("double"))
     perplexity = F.pow(F.lit(2.0), (F.lit(PRIOR) * F.coalesce(mid, F.lit(0.0)) - F.col("_logp")) / (F.lit(PRIOR) + F.col("_n")))
     out = out.withColumn("_perplexity", perplexity).withColumn("_threshold", F.pow(F.lit(2.0), most))
     return out.withColumn("_kept", F.col("_threshold").isNull() | (F.col("_perplexity") <= F.col("_threshold"))).drop("_lang", "_own", "_own_mid", "_logp")

@@ -123,6 +123,49 @@ def test_nulls_and_clashing_columns_through_all_stages(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_classifier_learns_from_all_trusted_rows(spark):
+    rnd = random.Random(25)
+    kinds = [prose(rnd, rnd.randint(1, 3)) for _ in range(40)]
+    n = 24_000
+    text = {i: kinds[int(rnd.random() ** 2 * 40)] for i in range(n)}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in text.items()] + [(None, "x", "en"), (n, "y", "en")], "doc_id bigint, text string, lang string").repartition(8)
+    labels = spark.createDataFrame([(i, 1) for i in [*text, 3, None, n + 1]], "doc_id bigint, quality int")
+    ids = {r["_id"]: r["train"] for r in knquality.trusted_ids(labels).collect()}
+    assert set(ids) == {*text, n + 1}
+    train = [text[i] for i in text if ids[i]]
+    bits = {t: (lambda x: -x[0] / x[1])(brute_kn(train, t)) for t in kinds}
+    mid, high = np.quantile([bits[text[i]] for i in text if not ids[i]], [0.5, knquality.QUANTILE])
+    got = knquality.classify(docs, labels).where(f"doc_id < {n}").collect()
+    assert len(got) == n
+    for r in got:
+        assert r["_threshold"] == pytest.approx(2 ** (high + knquality.MARGIN * (high - mid) + 0.1), rel=1e-9)
+        assert r["_perplexity"] == pytest.approx(2 ** ((knquality.PRIOR * mid + bits[r["text"]] * r["_n"]) / (knquality.PRIOR + r["_n"])), rel=1e-9)
+
+
+def test_trusted_rows_through_a_full_bitmap(spark):
+    docs = spark.createDataFrame([(i % 900 if i % 50 else None, f"t{i}", None if i % 7 else "en") for i in range(1000)], "doc_id int, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 2000, 2)], "doc_id bigint, quality int")
+    ids = knquality.trusted_ids(labels)
+    due = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] % 2 == 0 and r["doc_id"] % 3)
+    for words in (1, 4, knquality.ID_WORDS):
+        got = knquality.trusted_rows(docs, ids, words)
+        assert got.columns == ["_id", "text", "lang", "train"] and sorted((r["_id"], r["text"]) for r in got.collect()) == due
+
+
+def test_quantiles_with_ties_in_one_task_and_by_ranges(spark):
+    rnd = random.Random(26)
+    rows = [(k, g, rnd.choice([rnd.random() * 9 - 3, 1.5, 2.5])) for k in (True, False) for g, n in (("a", 1), ("b", 2), ("c", 101), ("d", 700)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "whole boolean, lang string, bits double")
+    shares = {"low": 0.0, "mid": 0.5, "high": 0.99, "most": 1.0}
+    for parallel in (None, True):
+        got = knquality.quantiles(df, ["whole", "lang"], "bits", shares, parallel).collect()
+        assert len(got) == 8
+        for r in got:
+            own = [x for k, g, x in rows if (k, g) == (r["whole"], r["lang"])]
+            assert r["n"] == len(own) and [r[name] for name in shares] == pytest.approx(np.quantile(own, list(shares.values())).tolist())
+        assert knquality.quantiles(df.where("false"), ["whole", "lang"], "bits", shares, parallel).count() == 0
+
+
 def test_perplexity_of_a_very_long_text(spark):
     rnd = random.Random(24)
     long = prose(rnd, 60_000)
