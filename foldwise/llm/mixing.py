@@ -54,17 +54,22 @@ PREDICTORS = ((24, False, 20), (2, True, 19), (4, False, 22), (24, True, 21), (3
 DEEP = 4  #: Longer beginnings of words are counted in their shard.
 FIRST = np.concatenate([[0], np.cumsum([1 << b for _, _, b in PREDICTORS])]).tolist()
 GATED = (2, 3)  # the predictors whose counts make the gate
+WHOLE, LAST = 3, 2  # the predictors whose context (and state) fixes those of all others, and those up to DEEP bytes
 SLOTS = FIRST[-1]
 INPUTS = len(PREDICTORS) + 1  # and a constant
 CLOSE, END = 0x20, 0x0A
 CHUNK_BYTES, TEXT_BYTES = 8 << 20, 2 << 20
 SHARD_WORDS = 2048
+#: Symbols that are spelled at once, for the shared slots, and of the largest shard that is kept spelled.
+RUN, SHORT_RUN, KEPT = 20_000, 60_000, 1_000_000
 #: Rows that the language states are fitted on, at most.
 LABELLED = 20_000
 #: Of the stage over texts: longest match, states and word lengths of its table, gates, inputs, decisions between updates.
 LONGEST, STATES, WIDTHS, RECALL_GATES, RECALL_INPUTS, STRIDE = 3, 16, 8, 12, 4, 32
 RECALL_CELLS = LONGEST * STATES * WIDTHS
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: For each state of the bits of a byte, what it adds to the hash of a context.
+_BEFORE = np.arange(256, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) * _STEP
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -171,31 +176,66 @@ class Deep:
     the word find their counts: in a part of the shard's own after the shared slots, with four slots a bit (one in shards of
     very many symbols)."""
 
-    def __init__(self, symbols: np.ndarray, begin: np.ndarray, room: int):
-        self.where = np.flatnonzero(np.arange(len(symbols)) - begin >= DEEP)
+    def __init__(self, symbols: np.ndarray, begin: np.ndarray, room: int, some: np.ndarray | None = None):
+        self.where = np.flatnonzero(np.arange(len(symbols)) - begin >= DEEP if some is None else some - begin[some] >= DEEP)
         self.bits = max(16, int((32 if room < 50_000 else 8) * max(1, room) - 1).bit_length())
         whole = [i for i, (length, _, _) in enumerate(PREDICTORS) if length > DEEP]
         self.first = {i: SLOTS + (k << self.bits) for k, i in enumerate(whole)}
         self.size = len(whole) << self.bits
 
 
-def slot_hash(context: np.ndarray, before: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (context + before * np.uint64(0xC2B2AE3D27D4EB4F)) * _STEP
+class Spelled:
+    """The symbols of some words, each once for all words of one state that begin alike up to it: predictions of a symbol
+    depend on no more. By ``LAST``, once for all that agree in the last ``DEEP`` bytes before it. ``back``: for each symbol
+    of the words, the distinct one that stands for it."""
+
+    def __init__(self, words: Words, state: np.ndarray, room: int, by: int = WHOLE):
+        symbols, self.word, begin = words.spelled()
+        own = state[self.word]
+        before = contexts(symbols, begin, own, which=[by])[0]
+        self.back, key = pd.factorize(before + bytescan.mix(own * 256 + symbols))  # in order of first appearance
+        first = np.zeros(len(key), np.int64)
+        first[self.back[::-1]] = np.arange(len(symbols))[::-1]
+        self.symbols = symbols[first]
+        self.ctx = contexts(symbols, begin, own[first], first)
+        self.deep = Deep(symbols, begin, room, first)
+
+    def summed(self, x: np.ndarray) -> np.ndarray:
+        """For each distinct symbol the sum of what its words have."""
+        return np.bincount(self.back, x[self.word], len(self.symbols))
+
+    def per_word(self, x: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(self.word, x[self.back], n)
+
+
+class Shard:
+    """The words of a shard, spelled in runs: from, to and what is spelled. Large ones are spelled anew each time."""
+
+    def __init__(self, words: Words, state: np.ndarray):
+        self.words, self.state, self.room = words, state, deep_symbols(words)
+        self.kept = list(self.spell()) if words.size.sum() <= KEPT else None
+
+    def spell(self) -> Iterator[tuple[int, int, Spelled]]:
+        for a, b, own in self.words.runs(RUN):  # small arrays
+            yield a, b, Spelled(own, self.state[a:b], self.room)
+
+    def __iter__(self) -> Iterator[tuple[int, int, Spelled]]:
+        return self.spell() if self.kept is None else iter(self.kept)
 
 
 def bits_of(symbols: np.ndarray, ctx: list[np.ndarray], deep: Deep | None = None):
     """For each of the eight bits: its number, the bit, what came before it in the byte, and the slots of the predictors."""
-    before = np.ones(len(symbols), np.uint64)
+    before, ctx = np.ones(len(symbols), np.int64), [c * _STEP for c in ctx]
     for k in range(8):
         bit = (symbols >> (7 - k)) & 1
-        at = [slot_hash(c, before) for c in ctx]
+        step = _BEFORE.take(before)
+        at = [c + step for c in ctx]
         slots = [(x >> np.uint64(64 - PREDICTORS[i][2])).astype(np.int32) + np.int32(FIRST[i]) for i, x in enumerate(at)]
         if deep is not None:
             for i, first in deep.first.items():
                 slots[i][deep.where] = (at[i][deep.where] >> np.uint64(64 - deep.bits)).astype(np.int32) + np.int32(first)
         yield k, bit, before, slots
-        before = before * np.uint64(2) + bit.astype(np.uint64)
+        before = before * 2 + bit
 
 
 def inputs(counts: np.ndarray, slots: list[np.ndarray], bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -244,16 +284,15 @@ class Model:
         """Log probability of each word of a shard, in its language state; c: how often each is in training."""
         out = np.zeros(len(words.size))
         table = Table(self.counts) if table is None else table
-        slots_of = table.of(words, state, np.zeros(len(out)) if c is None else c)
-        room = deep_symbols(words)
-        for a, b, own in words.runs(20_000):  # small arrays
-            symbols, word, begin = own.spelled()
-            total = np.zeros(len(symbols))
-            for _, bit, before, slots in bits_of(symbols, contexts(symbols, begin, state[a:b][word]), Deep(symbols, begin, room)):
+        shard = Shard(words, state)
+        slots_of = table.of(words, state, np.zeros(len(out)) if c is None else c, shard)
+        for a, b, own in shard:
+            total = np.zeros(len(own.symbols))
+            for _, bit, before, slots in bits_of(own.symbols, own.ctx, own.deep):
                 x, gate = inputs(slots_of, slots, None)
                 p = self.refined(self.mixed(x, gate), before)
                 total += np.log10(np.where(bit, p, 1 - p))
-            out[a:b] = np.bincount(word, total, b - a)
+            out[a:b] = own.per_word(total, b - a)
         return out
 
 
@@ -267,27 +306,26 @@ class Table:
     def __init__(self, counts: np.ndarray):
         self.slots = np.concatenate([counts, np.zeros(1 << 16, np.uint16)])
 
-    def of(self, words: Words, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+    def of(self, words: Words, state: np.ndarray, c: np.ndarray, shard: Shard | None = None) -> np.ndarray:
         """With the counts of that shard."""
-        room = deep_symbols(words)
         own = np.zeros(0, np.float32)
-        for a, b, part in words.runs(20_000):
-            symbols, word, begin = part.spelled()
-            deep = Deep(symbols, begin, room)
+        for a, b, part in Shard(words, state) if shard is None else shard:
+            deep = part.deep
             if not len(own):
                 own = np.zeros(2 * deep.size, np.float32)
-            mass = c[a:b][word][deep.where].astype(np.float32)
+            mass = part.summed(c[a:b])[deep.where].astype(np.float32)
             some, mass = deep.where[mass > 0], mass[mass > 0]
             if not len(some):
                 continue
-            ctx = contexts(symbols, begin, state[a:b][word][some], some, deep.first)
-            before = np.ones(len(some), np.uint64)
+            ctx, symbols = [part.ctx[i][some] * _STEP for i in deep.first], part.symbols[some]
+            before = np.ones(len(some), np.int64)
             for k in range(8):
-                bit = (symbols[some] >> (7 - k)) & 1
+                bit = (symbols >> (7 - k)) & 1
+                step = _BEFORE.take(before)
                 for h, first in zip(ctx, deep.first.values()):
-                    slot = (slot_hash(h, before) >> np.uint64(64 - deep.bits)).astype(np.int64) + (first - SLOTS)
+                    slot = ((h + step) >> np.uint64(64 - deep.bits)).astype(np.int64) + (first - SLOTS)
                     np.add.at(own, 2 * slot + bit, mass)
-                before = before * np.uint64(2) + bit.astype(np.uint64)
+                before = before * 2 + bit
         n = len(own) // 2
         if len(self.slots) < SLOTS + n:
             self.slots = np.concatenate([self.slots[:SLOTS], np.zeros(n, np.uint16)])
@@ -540,11 +578,11 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     counts = np.zeros(2 * SLOTS, np.float32)
     for words, state, c in _vocabulary(batches, 20_000):
-        for a, b, own in words.runs(20_000):
-            symbols, word, begin = own.spelled()
-            mass = c[a:b][word].astype(np.float32)
-            shallow = np.flatnonzero(np.arange(len(symbols)) - begin < DEEP)
-            for _, bit, _, slots in bits_of(symbols, contexts(symbols, begin, state[a:b][word])):
+        for a, b, part in words.runs(SHORT_RUN):
+            own = Spelled(part, state[a:b], 1, LAST)
+            mass = own.summed(c[a:b]).astype(np.float32)
+            shallow = np.delete(np.arange(len(mass)), own.deep.where)
+            for _, bit, _, slots in bits_of(own.symbols, own.ctx):
                 for (length, _, _), slot in zip(PREDICTORS, slots):
                     if length > DEEP:
                         np.add.at(counts, 2 * slot[shallow].astype(np.int64) + bit[shallow], mass[shallow])
@@ -603,14 +641,12 @@ def _learn(sent):
         w, mass = np.full((GATE * GATE, INPUTS), 0.3), np.zeros(GATE * GATE)
         n = np.zeros((256 * STEPS, 2))
 
-        def seen(words, state, c, refining):
-            counted, room = table.of(words, state, c), deep_symbols(words)
-            for a, b, own in words.runs(20_000):
-                symbols, word, begin = own.spelled()
-                trained = c[a:b][word]
+        def seen(shard, counted, c, refining):
+            for a, b, own in shard:
+                trained = own.summed(c[a:b])
                 if not trained.any():
                     continue
-                for _, bit, before, slots in bits_of(symbols, contexts(symbols, begin, state[a:b][word]), Deep(symbols, begin, room)):
+                for _, bit, before, slots in bits_of(own.symbols, own.ctx, own.deep):
                     x, gate = inputs(counted, slots, bit)
                     mixed = dot(w, x, gate)
                     error = trained * (bit - squash(mixed))
@@ -628,9 +664,11 @@ def _learn(sent):
             some = np.flatnonzero(c > 0)
             if len(some):
                 words, state, c = words.some(some), state[some], c[some]
+                shard = Shard(words, state)
+                counted = table.of(words, state, c, shard)
                 if not mass.any():
-                    seen(words, state, c, False)
-                seen(words, state, c, True)
+                    seen(shard, counted, c, False)
+                seen(shard, counted, c, True)
         cells = np.flatnonzero(n.sum(1))
         kind = np.repeat([0, 1], [w.size, len(cells)]).astype(np.int32)
         at = np.concatenate([np.arange(w.size), cells]).astype(np.int32)

@@ -221,3 +221,57 @@ def test_shards_count_deep_contexts_exactly():
             total += 1
             right += abs(got - n) < 0.1 * n + 0.5
     assert total > 1000 and right > 0.8 * total
+
+
+def test_shared_beginnings_are_asked_once(monkeypatch):
+    """Words of one state that begin alike share their decisions; scores and what is learned are those of each word alone."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from foldwise.llm import bytescan
+
+    rnd = random.Random(15)
+    texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))) for _ in range(400)] + ["ab" * 14 + x for x in ("", "a", "bb")]
+    words, _, _ = mixing.Words.of(next(bytescan.slices(pa.array([" ".join(texts)]))))
+    n = len(words.size)
+    state, c = np.arange(n) % 3, np.arange(n) % 4.0
+    counts = mixing.packed(np.random.default_rng(0).integers(0, 60, (mixing.SLOTS, 2)))
+    model = mixing.Model(counts, None, np.full((mixing.GATE**2, mixing.INPUTS), 0.2), np.random.default_rng(1).uniform(0.1, 0.9, (256, mixing.STEPS)))
+    stop = np.cumsum(words.size)
+    raw = [words.data[a:b].tobytes() for a, b in zip(stop - words.size, stop)]
+
+    asked, bits_of = [], mixing.bits_of
+    monkeypatch.setattr(mixing, "bits_of", lambda symbols, *a: asked.append(len(symbols)) or bits_of(symbols, *a))
+    got = model.log10(words, state, c)
+    column = [pa.array(np.zeros(n, np.int64)), pa.array(words.hash.view(np.int64)), pa.array(raw, pa.binary()), pa.array(state.astype(np.int32)), pa.array(c.astype(np.int64))]
+    batch = pa.RecordBatch.from_arrays(column, ["shard", "h", "word", "state", "c"])
+    learned = pa.Table.from_batches(mixing._learn(SimpleNamespace(value=counts))(iter([batch]))).to_pydict()
+    slots = list(mixing._slot_counts(iter([batch.select(["h", "word", "state", "c"])])))
+
+    def beginnings(which, length):  # and past that length the last bytes, for words of up to 24 bytes as they are
+        return len({(state[k], spelled(raw[k])[max(0, i - length) : i + 1], min(i, length)) for k in which for i in range(len(spelled(raw[k])))})
+
+    trained = [k for k in range(n) if c[k] > 0]
+    assert asked == [beginnings(range(n), 24), *[beginnings(trained, 24)] * 2, beginnings(range(n), mixing.DEEP)]
+    assert asked[0] < 0.6 * sum(len(spelled(w)) for w in raw)
+    total = {}
+    for b in slots:  # all masses, at the end of each part's bytes
+        import zstandard
+
+        body = zstandard.ZstdDecompressor().decompress(b["counts"][0].as_py())
+        total[b["part"][0].as_py()] = np.frombuffer(body, "<f4", len(body) // 8, len(body) // 2).sum()
+    assert sum(total.values()) == 8 * sum(m * (len(s) * 3 + min(len(s), mixing.DEEP) * 2) for m, s in zip(c, map(spelled, raw)))
+
+    symbols, word, begin = words.spelled()
+    table = mixing.Table(counts).of(words, state, c)
+    due = np.zeros(len(symbols))
+    for _, bit, before, at in bits_of(symbols, mixing.contexts(symbols, begin, state[word]), mixing.Deep(symbols, begin, mixing.deep_symbols(words))):
+        p = model.refined(model.mixed(*mixing.inputs(table, at, None)), before)
+        due += np.log10(np.where(bit, p, 1 - p))
+    assert np.allclose(got, np.bincount(word, due, n), rtol=1e-9)
+
+    monkeypatch.setattr(mixing, "KEPT", 0)  # as in very large shards
+    assert (model.log10(words, state, c) == got).all()
+    again = pa.Table.from_batches(mixing._learn(SimpleNamespace(value=counts))(iter([batch]))).to_pydict()
+    assert again == learned
