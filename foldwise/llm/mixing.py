@@ -25,7 +25,8 @@ mass.
 
 For scoring, the words of all documents are spelled once for each state that they stand in. Documents are dealt into
 chunks by a hash of their id; the distinct words of a chunk meet the global counts and log probabilities in a join, and
-come back to the chunk. No table of words is broadcast or collected.
+come back to the chunk. What the most frequent words would get there is in a table of fixed size, sent to all tasks; no
+other table of words is broadcast or collected.
 
 Defined cases: null or empty text: one end. Null doc_id: its crc32 is that of the empty text (training). Repeated rows:
 each is counted and scored. No training tokens: counts are 0 and every bit has probability 1/2; base_score is null. An
@@ -62,6 +63,8 @@ CHUNK_BYTES, TEXT_BYTES = 8 << 20, 2 << 20
 SHARD_WORDS = 2048
 #: Symbols that are spelled at once, for the shared slots, and of the largest shard that is kept spelled.
 RUN, SHORT_RUN, KEPT = 20_000, 60_000, 1_000_000
+#: Most frequent words by state that skip the join, at most, and the slots of their table.
+FREQUENT, FREQUENT_SLOTS = 1 << 18, 1 << 19
 #: Rows that the language states are fitted on, at most.
 LABELLED = 20_000
 #: Of the stage over texts: longest match, states and word lengths of its table, gates, inputs, decisions between updates.
@@ -723,23 +726,61 @@ def _score_words(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(sent.value.counts)
         for words, state, c in _shards(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)), pa.array(state.astype(np.int32)), pa.array(sent.value.log10(words, state, c, table))], ["h", "state", "logp"])
+            yield pa.RecordBatch.from_arrays([pa.array(words.hash.view(np.int64)), pa.array(state.astype(np.int32)), pa.array(c.astype(np.int64)), pa.array(sent.value.log10(words, state, c, table))], ["h", "state", "own", "logp"])
 
     return bytescan.tidy(run)
 
 
+@dataclass
+class Frequent:
+    """What the join gives for the most frequent words by state; of those that meet in a slot, for the most frequent."""
+
+    key: np.ndarray  # in a free slot one that belongs to another
+    c: np.ndarray
+    logp: np.ndarray
+
+    @staticmethod
+    def of(t: pa.Table, slots: int) -> "Frequent":
+        """From (h, state, own, c, logp); slots: a power of two."""
+        t = t.sort_by([("own", "ascending"), ("h", "ascending"), ("state", "ascending")])
+        out = Frequent(~(np.arange(slots, dtype=np.uint64) << np.uint64(65 - slots.bit_length())), np.zeros(slots), np.zeros(slots))
+        key = _key(t["h"].to_numpy().view(np.uint64), t["state"].to_numpy())
+        at = out.slot(key)
+        last = len(at) - 1 - np.unique(at[::-1], return_index=True)[1]
+        at = at[last]
+        out.key[at], out.c[at], out.logp[at] = key[last], t["c"].to_numpy()[last], t["logp"].to_numpy()[last]
+        return out
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(65 - len(self.key).bit_length())).astype(np.int64)
+
+
+def frequent(known: DataFrame, most: int) -> pa.Table:
+    """At most so many rows of (h, state, own, c, logp), those with the largest ``own``."""
+    level = F.floor(F.log2("own") * 16)
+    total, least = 0, None
+    for r in known.where("own > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # about 1,000 at most
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return known.where("own > 0" if least is not None else "false").where(level >= F.lit(least or 0)).select("h", "state", "own", "c", "logp").toArrow()
+
+
 def _chunk_words(sent):
-    """(chunk, ..., text) -> (chunk, word hash, state), each at least once; a table of what was seen last keeps most
-    repetitions back."""
+    """(chunk, ..., text) -> (chunk, word hash, state) of words that are not in the table of frequent ones, each at least
+    once; a table of what was seen last keeps most repetitions back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 20, np.uint64)
+        seen, (model, often) = np.zeros(1 << 20, np.uint64), sent.value
         for batch in batches:
             chunks = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for s in bytescan.slices(batch.column(3), TEXT_BYTES):
                 words, tokens, texts = Words.of(s)
                 own, local = np.unique(chunks[s.first : s.first + s.n], return_inverse=True)
-                key = np.unique((local[texts] * len(words.size) + tokens) * STATES + states(words, tokens, texts, sent.value))
+                key = np.unique((local[texts] * len(words.size) + tokens) * STATES + states(words, tokens, texts, model.pairs))
+                both = _key(words.hash[key // STATES % len(words.size)], key % STATES)
+                key = key[often.key[often.slot(both)] != both]
                 word, chunk, state = key // STATES % len(words.size), own[key // STATES // len(words.size)], key % STATES
                 with np.errstate(over="ignore"):
                     mark = _key(words.hash[word] + bytescan.mix(chunk.astype(np.uint64) + np.uint64(1)), state)
@@ -761,21 +802,26 @@ SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base
 
 def _score_chunk(sent, n_train: int, n_words: int):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        model = sent.value
+        model, often = sent.value
         key = _key(known["h"].to_numpy().view(np.uint64), known["state"].to_numpy())
         order = np.argsort(key)
-        key, c, logp = key[order], known["c"].to_numpy()[order], known["logp"].to_numpy()[order]
+        key, known_c, known_logp = key[order], known["c"].to_numpy()[order], known["logp"].to_numpy()[order]
         rows = {k: [] for k in ("n_tokens", "n_known", "base", "score", "n_bytes")}
         for s in bytescan.slices(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string()), TEXT_BYTES):
             words, tokens, texts = Words.of(s)
             state = states(words, tokens, texts, model.pairs)
             both, back = pairs_of(tokens, state, len(words.size))
-            at = np.searchsorted(key, _key(words.hash[both // STATES], both % STATES))  # every one is there
-            base = np.log10(c[at] + 1.0) - math.log10(n_train + n_words + 1)
+            own = _key(words.hash[both // STATES], both % STATES)
+            at = often.slot(own)
+            rest = np.flatnonzero(often.key[at] != own)
+            c, logp = often.c[at], often.logp[at]
+            at = np.searchsorted(key, own[rest])  # every one is there
+            c[rest], logp[rest] = known_c[at], known_logp[at]
+            base = np.log10(c + 1.0) - math.log10(n_train + n_words + 1)
             rows["n_tokens"].append(np.bincount(texts, minlength=s.n))
-            rows["n_known"].append(np.bincount(texts, (c[at] > 0)[back], s.n).astype(np.int64))
+            rows["n_known"].append(np.bincount(texts, (c > 0)[back], s.n).astype(np.int64))
             rows["base"].append(np.bincount(texts, base[back], s.n))
-            rows["score"].append(np.bincount(texts, along(model, words, tokens, texts, state, both, logp[at], logp[at][back]), s.n))
+            rows["score"].append(np.bincount(texts, along(model, words, tokens, texts, state, both, logp, logp[back]), s.n))
             rows["n_bytes"].append(np.diff(s.off))
         got = {k: pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if k in ("base", "score") else pa.int64()) for k, v in rows.items()}
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], **got})
@@ -799,7 +845,7 @@ def along(model: Model, words: Words, tokens: np.ndarray, texts: np.ndarray, sta
     return out
 
 
-def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, languages: int = LANGUAGES) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, languages: int = LANGUAGES, most_frequent: int = FREQUENT, slots: int = FREQUENT_SLOTS) -> DataFrame:
     """Train on the rows of (doc_id, text, lang) that are not held out, and score all."""
     spark = docs.sparkSession
     ship(spark)
@@ -807,7 +853,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, languages: int = LANG
     model, every_word = learn(rows, languages)
     sent = spark.sparkContext.broadcast(model)
     # Each word is spelled once for each state, wherever it stands.
-    scored = in_shards(every_word).mapInArrow(_score_words(sent), "h bigint, state int, logp double")
+    scored = in_shards(every_word).mapInArrow(_score_words(sent), "h bigint, state int, own bigint, logp double")
     counts = every_word.groupBy("h").agg(F.sum("c").alias("c"))
     known = materialise(scored.join(counts, "h"), "scored")
     total = known.where("c > 0").select("h", "c").distinct().agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -816,10 +862,10 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, languages: int = LANG
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
     # Rows of one id are dealt by their text, too.
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", "held_out", "text").repartition(chunks, "chunk")
-    light = spark.sparkContext.broadcast(model.pairs)
-    used = dealt.mapInArrow(bytescan.tidy(_chunk_words(light)), "chunk bigint, h bigint, state int").join(known, ["h", "state"])
     scoring = Model(np.zeros(0, np.uint16), model.pairs, model.weights, model.refine, model.recall, model.recall_weights)
-    run = _score_chunk(spark.sparkContext.broadcast(scoring), n_train, n_words)
+    light = spark.sparkContext.broadcast((scoring, Frequent.of(frequent(known, most_frequent), slots)))
+    used = dealt.mapInArrow(bytescan.tidy(_chunk_words(light)), "chunk bigint, h bigint, state int").join(known.drop("own"), ["h", "state"])
+    run = _score_chunk(light, n_train, n_words)
     out = dealt.groupBy("chunk").cogroup(used.select("chunk", "h", "state", "c", "logp").groupBy("chunk")).applyInArrow(run, SCORED)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), F.when(F.lit(n_train > 0), F.col("base")).alias("base_score"), "score",

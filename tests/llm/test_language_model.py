@@ -275,3 +275,35 @@ def test_shared_beginnings_are_asked_once(monkeypatch):
     assert (model.log10(words, state, c) == got).all()
     again = pa.Table.from_batches(mixing._learn(SimpleNamespace(value=counts))(iter([batch]))).to_pydict()
     assert again == learned
+
+
+def test_frequent_words_skip_the_join(spark, rows):
+    """A table of all words, of a few, of some that meet in its slots, or none: the scores stay; only the rest is joined."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole, none, few = ({r["doc_id"]: tuple(r) for r in mixing.score(df, **x).collect()} for x in ({}, {"most_frequent": 0}, {"most_frequent": 20, "slots": 8}))
+    assert whole == none == few and len(whole) == len(rows)
+
+    t = pa.table({"h": pa.array(range(40), pa.int64()), "state": pa.array([1] * 40, pa.int32()), "own": [1, 2] * 20, "c": range(40), "logp": [-x / 7 for x in range(40)]})
+    often = mixing.Frequent.of(t, 16)
+    key = mixing._key(np.arange(40, dtype=np.uint64), np.ones(40, np.int64))
+    at = often.slot(key)
+    there = np.flatnonzero(often.key[at] == key)
+    assert len(there) == len(set(at)) and (often.c[at[there]] == there).all() and (often.logp[at[there]] == -there / 7).all()
+    assert all(max((1, 2)[i % 2] for i in np.flatnonzero(at == at[k])) == (1, 2)[k % 2] for k in there)
+    free = np.setdiff1d(np.arange(16), at)
+    assert (often.slot(often.key[free]) != free).all()
+
+    df = spark.createDataFrame([(i, 1, n, n, -1.0) for i, n in enumerate([0, 1, 1, 1, 5, 9, 9, 40])], "h bigint, state int, own bigint, c bigint, logp double")
+    assert [mixing.frequent(df, n).num_rows for n in (0, 1, 2, 3, 4, 6, 7, 99)] == [0, 1, 1, 3, 4, 4, 7, 7]
+
+    words, _, _ = mixing.Words.of(next(mixing.bytescan.slices(pa.array(["a b c a"]))))
+    batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([1]), pa.array([False]), pa.array(["a b c a"])], ["chunk", "doc_id", "held_out", "text"])
+    held = pa.table({"h": pa.array(words.hash[1:3].view(np.int64)), "state": pa.array([0, 1], pa.int32()), "own": [1, 1], "c": [1, 1], "logp": [-1.0, -1.0]})
+    model = mixing.Model(None, np.zeros((65536, 1)), None, None)
+    got = {(h, s) for b in mixing._chunk_words(SimpleNamespace(value=(model, mixing.Frequent.of(held, 1024))))(iter([batch])) for h, s in zip(b["h"].to_pylist(), b["state"].to_pylist())}
+    signed = words.hash.view(np.int64).tolist()
+    assert got == {(signed[3], 1), (signed[1], 1), (signed[0], 1)}  # c, the second a, and the end
